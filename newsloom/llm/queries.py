@@ -2,17 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import embed_dedup, lang_zstd, mixing, simhash
-from newsloom.llm.common import table
+from newsloom.llm import embed_dedup, lang_zstd, line_dedup, mixing, mpeg_audio, packing, secret_scan, simhash, token_files
+from newsloom.llm.common import Scratch, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{Scratch(spark).root}/tokens"
+    token_files.write(table(spark, sf_dir, "documents"), folder)
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _joined(found: Column) -> Column:
+    return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+
+
+def op3_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = secret_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.filter("findings", lambda x: x.kind != "truncated")
+    base = F.filter("findings", lambda x: (x.kind != "truncated") & (x.path == ""))
+    count = [F.size(F.filter(F.transform("base", lambda x: x.kind), F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return docs.select("doc_id", base.alias("base"), spans.alias("all")).select("doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
+
+
+def op4_pack_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mpeg_audio.features(table(spark, sf_dir, "documents"))
+    feature = F.concat_ws(
+        ";", F.concat(F.lit("frames="), "frames"), F.concat(F.lit("rate="), "rate"), F.concat(F.lit("samples="), "samples"), F.concat(F.lit("table="), "table"),
+        F.concat(F.lit("crc_ok="), "crc_ok"), F.concat(F.lit("crc_bad="), "crc_bad"), F.concat(F.lit("skipped="), "skipped"),
+        F.concat(F.lit("kbits="), F.format_number("mean_kbits", 3)), F.concat(F.lit("seek="), F.array_join("seek", ":")),
+    )
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "duration")
+
+
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,7 +72,12 @@ def op10_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_token_files": op2_token_files,
+    "op3_secret_layers": op3_secret_layers,
+    "op4_pack_deficit": op4_pack_deficit,
     "op5_simhash_gray": op5_simhash_gray,
+    "op7_mpeg_audio": op7_mpeg_audio,
+    "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_embedding_int8": op9_embedding_int8,
     "op10_language_zstd": op10_language_zstd,
 }
