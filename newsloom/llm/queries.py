@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import embed_dedup, lang_zstd, line_dedup, mixing, mpeg_audio, packing, secret_scan, simhash, token_files
+from newsloom.llm import chat_format, embed_dedup, lang_zstd, line_dedup, mixing, mpeg_audio, packing, secret_scan, simhash, token_files
 from newsloom.llm.common import Scratch, table
 
 
@@ -36,6 +36,11 @@ def op4_pack_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_chat_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat_format.parsed(chat_format.transcripts(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "segment", "turn", "role", "continues", "rendered")
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mpeg_audio.features(table(spark, sf_dir, "documents"))
     feature = F.concat_ws(
@@ -76,6 +81,7 @@ QUERIES = {
     "op3_secret_layers": op3_secret_layers,
     "op4_pack_deficit": op4_pack_deficit,
     "op5_simhash_gray": op5_simhash_gray,
+    "op6_chat_viterbi": op6_chat_viterbi,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_embedding_int8": op9_embedding_int8,
