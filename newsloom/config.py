@@ -195,10 +195,10 @@ class SignalConfig:
         template = spark.createDataFrame([(n, t) for n, t in enumerate(self.templates)], "template_ord int, template string")
         rows = brand.join(F.broadcast(region.select("region", "label", "language_hints", "terms")), "region").crossJoin(topic).crossJoin(template)
         def joined(c, f):
-            return F.array_join(F.transform(c, lambda x: x[f]), " ")
+            return F.array_join(F.transform(c, lambda x: x[f]), " OR ")
         query = F.col("template")
         for key, value in (("competitor", F.col("competitor")), ("topic_keywords", joined("words", "keyword")), ("geo_terms", joined("terms", "term")),
-                           ("topic_name", F.replace(F.col("topic"), F.lit("_"), F.lit(" "))), ("region_label", F.col("label")), ("language_hints", F.array_join("language_hints", " "))):
+                           ("topic_name", F.replace(F.col("topic"), F.lit("_"), F.lit(" "))), ("region_label", F.col("label")), ("language_hints", F.array_join("language_hints", " OR "))):
             query = F.replace(query, F.lit("{" + key + "}"), value)
         place = F.struct("region_ord", "ord", "priority_ord", "template_ord")
         first = rows.withColumn("query", F.trim(F.regexp_replace(query, r"\s+", " "))).groupBy("query").agg(F.min_by(F.struct("region", "competitor", "topic"), place).alias("own"), F.min(place).alias("place"))
@@ -206,6 +206,35 @@ class SignalConfig:
                             F.row_number().over(W.orderBy("place")).alias("seq"))
 
 
+def provider_query(provider: str, brand: str, region: Region, keywords) -> str:
+    """Search text of a provider for a brand, a region and a topic's keywords."""
+    def quote(t):
+        return f'"{t}"' if " " in t or "/" in t else t
+
+    if provider == "gdelt":
+        parts = [brand, *(quote(t) for t in (*keywords[:1], (region.geo_terms or (region.label,))[0]))]
+    else:
+        n = 4 if provider == "google_news_rss" else 3
+        parts = [f'"{brand}"', *map(quote, keywords[:n]), *map(quote, (region.label, *region.geo_terms)[:n])]
+    return " ".join(p for p in parts if p)
+
+
+def provider_queries(spark: SparkSession, config: SignalConfig, regions=None, providers=None, every_brand: bool = False) -> DataFrame:
+    """(provider, query, owner_region, owner_competitor, owner_topic, seq) in topic priority order.
+
+    Each region gets its own brands; ``every_brand`` pairs all brands with all regions."""
+    chosen = config.selected(regions)
+    rows = []
+    for p in providers or config.providers:
+        for topic in config.topic_order():
+            for r in chosen:
+                for b in (config.brands_of(chosen) if every_brand else config.brands.get(r, ())):
+                    rows.append((p, provider_query(p, b, config.regions[r], config.topics[topic]), r, b, topic, len(rows)))
+    frame = spark.createDataFrame(rows, "provider string, query string, owner_region string, owner_competitor string, owner_topic string, seq long")
+    first = frame.groupBy("provider", "query").agg(F.min("seq").alias("seq"))
+    return frame.join(first, ["provider", "query", "seq"])
+
+
 def default_config() -> SignalConfig:
     return SignalConfig.from_dict({
         "regions": REGIONS, "competitors_by_region": BRANDS, "topic_groups": TOPICS, "topic_priority_groups": PRIORITY_TOPICS, "competitor_aliases": ALIASES,
