@@ -148,6 +148,12 @@ def has_term(folded: Column, term: str, inflect: bool = False) -> Column:
     return F.contains(folded, F.lit(term.split(" ")[0])) & folded.rlike(term_pattern(term, inflect))
 
 
+def pinned(df, columns: dict):
+    """withColumns() whose results are computed once: filters on them are not pushed below, where each use would repeat them."""
+    made = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(made))
+
+
 def any_of(checks) -> Column:
     out = F.lit(False)
     for c in checks:
@@ -177,7 +183,7 @@ def confidence(score: Column) -> Column:
 
 def decay(event: Column, as_of: Column, half_life_days: float) -> Column:
     """Half-life weight of an event; the future counts as now, an unknown time too."""
-    days = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(event)) / 86_400_000_000.0)
+    days = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(event.cast("timestamp"))) / 86_400_000_000.0)
     return F.pow(F.lit(0.5), F.coalesce(days, F.lit(0.0)) / max(half_life_days, 1e-4))
 
 

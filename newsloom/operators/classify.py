@@ -96,12 +96,14 @@ def classified(articles: DataFrame, config: SignalConfig, regions=None) -> DataF
     flat |= {f"_g_{r}": X.first_of((X.has_term(F.col("_text"), t), t) for t in ts) for r, ts in geo_terms.items()}
     flat["_ignored"] = F.array_compact(F.array(*[F.when(X.has_term(F.col("_text"), t), F.lit(t)) for t in config.ignored_geo])) if config.ignored_geo else F.array().cast("array<string>")
     hints = F.transform(F.coalesce("competitor_hints", F.array().cast("array<string>")), X.fold)
-    out = articles.withColumnRenamed("region", "article_region").withColumns({"_content": X.blob("title", "snippet", "source"), "_text": article_blob(), "_hints": hints}).withColumns(flat)
+    out = X.pinned(articles.withColumnRenamed("region", "article_region"), {"_content": X.blob("title", "snippet", "source"), "_text": article_blob(), "_hints": hints})
+    flat["_target"] = X.any_of(X.has_term(F.col("_text"), t) for t in config.target_terms(regions))
+    flat["_signals"] = F.array_compact(F.array(*[F.when(X.any_of(X.has_term(F.col("_text"), s, inflect=True) for s in signal_terms(t)), F.lit(t)) for t in config.topics]))
+    out = X.pinned(out, flat)
     hit = [(F.col(f"_b{n}"), F.array_contains("_hints", b.casefold()), b) for n, b in enumerate(brands)]
     competitor = F.coalesce(X.first_of((m & h, b) for m, h, b in hit), X.first_of((m, b) for m, _, b in hit))
-    out = out.withColumns({"competitor": competitor, "_topic": best_topic(config)}).withColumns({"topic_group": F.col("_topic.topic"), "matched_keywords": F.coalesce("_topic.keywords", F.array().cast("array<string>"))})
-    target = X.any_of(X.has_term(F.col("_text"), t) for t in config.target_terms(regions))
-    ignored = (F.size("_ignored") > 0) & ~target
+    out = X.pinned(out, {"competitor": competitor, "_topic": best_topic(config)}).withColumns({"topic_group": F.col("_topic.topic"), "matched_keywords": F.coalesce("_topic.keywords", F.array().cast("array<string>"))})
+    ignored = (F.size("_ignored") > 0) & ~F.col("_target")
 
     def allowed(region: Column) -> Column:
         return F.coalesce(X.any_of((region == r) & F.col("competitor").isin(*config.brands.get(r, ())) for r in config.regions if config.brands.get(r)), F.lit(False))
@@ -115,7 +117,7 @@ def classified(articles: DataFrame, config: SignalConfig, regions=None) -> DataF
     mismatch = (own & ~allowed(F.col("article_region"))) | X.any_of(F.col(f"_g_{r}").isNotNull() & ~allowed(F.lit(r)) for r in regions)
     owner = F.lower(F.trim(X.text("query_owner_region")))
     owner_ok = owner.isin(*regions) & (F.trim(X.text("query_owner_competitor")) == F.col("competitor")) & allowed(owner)
-    out = out.withColumns({"_region": F.when(ok, found), "_country": F.when(ok, country), "_mismatch": mismatch, "_owner": F.when(owner_ok, owner), "_ignore": ignored})
+    out = X.pinned(out, {"_region": F.when(ok, found), "_country": F.when(ok, country), "_mismatch": mismatch, "_owner": F.when(owner_ok, owner), "_ignore": ignored})
     nowhere = F.col("_region").isNull() & F.col("_country").isNull()
     reason = (
         F.when(F.col("competitor").isNull(), DROP_REASONS[0]).when(F.col("topic_group").isNull(), DROP_REASONS[1]).when(F.col("_ignore"), DROP_REASONS[2])
@@ -125,13 +127,13 @@ def classified(articles: DataFrame, config: SignalConfig, regions=None) -> DataF
     details = F.when(reason == DROP_REASONS[2], F.create_map(F.lit("ignored_geo_terms"), F.array_join("_ignored", " | "), F.lit("selected_regions"), F.lit(" | ".join(regions)))).when(
         reason.isNotNull() & (reason != DROP_REASONS[0]), F.create_map(F.lit("competitor"), F.col("competitor")))
     region = F.when(F.lit(len(regions) > 1) & nowhere, F.col("_owner")).otherwise(F.col("_region"))
-    out = out.withColumns({"drop_reason": reason, "drop_details": details, "region": region}).withColumn("country_hint", F.col("_country"))
+    out = X.pinned(out, {"drop_reason": reason, "drop_details": details, "region": region, "country_hint": F.col("_country")})
     spoken = F.concat(F.lit(" "), X.fold(X.blob("title", "snippet", "query", "source", "article_region", "language")), F.lit(" "))
     language = F.lit(None).cast("string")
     for r, rc in config.regions.items():
         language = F.when(F.col("region") == r, F.coalesce(X.first_of((F.contains(spoken, F.lit(f" {h.casefold()} ")), h) for h in rc.language_hints), F.lit(rc.language_hints[0]))).otherwise(language)
-    out = out.withColumn("language_hint", F.coalesce(F.nullif("language", F.lit("")), language))
-    signal = X.any_of((F.col("topic_group") == t) & X.any_of(X.has_term(F.col("_text"), s, inflect=True) for s in signal_terms(t)) for t in config.topics)
+    out = X.pinned(out, {"language_hint": F.coalesce(F.nullif("language", F.lit("")), language)})
+    signal = F.coalesce(F.array_contains("_signals", F.col("topic_group")), F.lit(False))
     points = [
         (F.contains("_text", X.fold("competitor")), F.lit(5), F.lit("competitor_mentioned")),
         (F.size("_hints") > 0, F.lit(1), F.lit("provider_competitor_hint")),
@@ -143,7 +145,7 @@ def classified(articles: DataFrame, config: SignalConfig, regions=None) -> DataF
     ]
     total = sum((F.when(c, p).otherwise(0) for c, p, _ in points), F.lit(0))
     summary = F.concat(F.col("competitor"), F.lit(" / "), F.col("topic_group"), F.when(F.col("country_hint").isNotNull(), F.concat(F.lit(" / "), "country_hint")).otherwise(""), F.lit(": "), X.text("title"))
-    out = out.withColumns({"score": F.least(total, F.lit(10)), "reasons": F.array_compact(F.array(*[F.when(c, r) for c, _, r in points])), "summary": summary})
+    out = X.pinned(out, {"score": F.least(total, F.lit(10)), "reasons": F.array_compact(F.array(*[F.when(c, r) for c, _, r in points])), "summary": summary})
     return out.select(*[c for c in out.columns if not c.startswith("_")])
 
 

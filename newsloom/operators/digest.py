@@ -25,8 +25,8 @@ def assigned(candidates: DataFrame, config: SignalConfig, regions=None) -> DataF
 
     Adds strength and region_ord; rows that end up in no selected region have region_ord null, so they can be audited."""
     regions = config.selected(regions)
-    out = candidates.withColumn("_geo", gate.geo_blob())
-    out = out.withColumns({f"_s_{r}": region_strength(r, config, F.col("_geo")) for r in regions})
+    out = X.pinned(candidates, {"_geo": gate.geo_blob()})
+    out = X.pinned(out, {f"_s_{r}": region_strength(r, config, F.col("_geo")) for r in regions})
     most = F.greatest(F.lit(0), F.lit(0), *[F.col(f"_s_{r}") for r in regions])
     winners = sum(((F.col(f"_s_{r}") == most).cast("int") for r in regions), F.lit(0))
     clear = F.when((most > 0) & (winners == 1), X.first_of((F.col(f"_s_{r}") == most, r) for r in regions))
@@ -37,7 +37,8 @@ def assigned(candidates: DataFrame, config: SignalConfig, regions=None) -> DataF
     strength, place = F.lit(0), F.lit(None).cast("int")
     for n, r in enumerate(regions):
         strength, place = F.when(F.col("region") == r, F.col(f"_s_{r}")).otherwise(strength), F.when(F.col("region") == r, n).otherwise(place)
-    out = out.withColumn("region", region).withColumns({"strength": strength, "region_ord": place})
+    out = X.pinned(out, {"region": region})
+    out = X.pinned(out, {"strength": strength, "region_ord": place})
     return out.drop("_geo", *[f"_s_{r}" for r in regions])
 
 
@@ -58,7 +59,7 @@ def alerts(candidates: DataFrame) -> DataFrame:
     """Promotes candidates: digest_key, headline, priority, confidence, reason."""
     key = F.concat_ws("::", F.lower("competitor"), "topic_group", "url")
     priority = F.coalesce(F.nullif("priority_hint", F.lit("")), X.priority(F.col("score"))) if "priority_hint" in candidates.columns else X.priority(F.col("score"))
-    return candidates.withColumns({
+    return X.pinned(candidates, {
         "digest_key": F.coalesce(F.nullif("deferred_digest_key", F.lit("")), key), "headline": F.col("title"), "severity": F.lower(priority), "priority": priority,
         "confidence": X.confidence(F.col("score")), "reason": F.coalesce(F.nullif("summary", F.lit("")), F.nullif(F.array_join("reasons", ", "), F.lit("")), F.col("title")),
         "canonical_topic": gate.canonical_topic("topic_group"),
@@ -87,7 +88,7 @@ def resolved(rows: DataFrame, llm: str | None = None, html: str | None = None) -
     source = F.lit("undated_fallback")
     for d, s in reversed(found):
         source = F.when(d.isNotNull(), s).otherwise(source)
-    return rows.withColumns({"resolved_date": F.coalesce(*[d for d, _ in found]), "resolved_date_source": source})
+    return X.pinned(rows, {"resolved_date": F.coalesce(*[d for d, _ in found]), "resolved_date_source": source})
 
 
 def needs_context(as_of: str, days: int = 7) -> Column:
@@ -126,7 +127,7 @@ def build(candidates: DataFrame, config: SignalConfig, regions, history: DataFra
     chosen = config.selected(regions)
     rows = None
     for r in chosen:  # each region's filter knows only its own vocabulary
-        part = candidates.where(F.col("region") == r).where(gate.marketing_relevant(config, (r,)))
+        part = gate.marketing(candidates.where(F.col("region") == r), config, (r,))
         rows = part if rows is None else rows.unionByName(part)
     rows = ranked(resolved(alerts(rows)) if "resolved_date" not in rows.columns else alerts(rows), "rank_in")
     if sent is not None:

@@ -25,7 +25,7 @@ def conformed(rows: DataFrame) -> DataFrame:
 
 def normalized(rows: DataFrame) -> DataFrame:
     """Cleaned title, source, snippet and query, canonical URL; a date that cannot be read stays as it is."""
-    return rows.withColumns({
+    return X.pinned(rows, {
         "title": X.clean("title"), "source": X.source_or_domain(F.col("source"), F.col("url")), "snippet": X.clean("snippet"), "query": X.clean("query"),
         "published_at": F.coalesce(X.published_date("published_at").cast("string"), F.col("published_at")), "url": X.canonical_url("url"),
     })
