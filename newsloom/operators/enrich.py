@@ -112,14 +112,16 @@ def truth(alerts: DataFrame, config: SignalConfig, llm_region: str = "llm_region
     for b in brands:
         a = config.allowed(b)
         n_allowed, only = F.when(F.col("competitor") == b, len(a)).otherwise(n_allowed), F.when(F.col("competitor") == b, a[0]).otherwise(only)
-    key = _country_key(F.coalesce(F.nullif(own_c, F.lit("")), F.nullif(said_c, F.lit("")), F.lit("")))
+    alerts = X.pinned(alerts, {"_key": _country_key(F.coalesce(F.nullif(own_c, F.lit("")), F.nullif(said_c, F.lit("")), F.lit(""))), "_says": _country_key(said_c)})
+    key, says = F.col("_key"), F.col("_says")
     in_region = {r: key.isin(*dict.fromkeys(_key(t) for t in rc.validation_terms)) & F.col("competitor").isin(*(config.brands.get(r) or ("",))) for r, rc in config.regions.items()}
     matches = sum((c.cast("int") for c in in_region.values()), F.lit(0))
     by_country = X.first_of((c, r) for r, c in in_region.items())
+    alerts = X.pinned(alerts, {"_matches": matches, "_by_country": by_country})
+    matches, by_country = F.col("_matches"), F.col("_by_country")
     region = F.when(own_r != "", own_r).when(n_allowed == 0, "").when(n_allowed == 1, only).when((key != "") & (matches == 1), by_country).otherwise("")
     r_source = F.when(own_r != "", "pipeline").when((n_allowed > 1) & (key != "") & (matches == 1), "geo_country_override").when((said_r != "") & (region == said_r), "llm").otherwise("empty")
     r_fallback = F.when(own_r != "", ~said_r.isin("") & (said_r != own_r)).otherwise((said_r != "") & (region != said_r))
-    says = _country_key(said_c)
     term = F.lit(None).cast("string")
     for r, rc in config.regions.items():
         first = {}
@@ -130,7 +132,7 @@ def truth(alerts: DataFrame, config: SignalConfig, llm_region: str = "llm_region
     country = F.when(own_c != "", own_c).when(kept, term).otherwise("")
     c_source = F.when(own_c != "", "pipeline").when(kept, "llm").otherwise("empty")
     c_fallback = F.when(own_c != "", (said_c != "") & (said_c != own_c)).otherwise((said_c != "") & ~kept)
-    return alerts.withColumns({"safe_region": region, "country": country, "competitor_source": F.lit("pipeline"), "region_source": r_source, "country_source": c_source, "geo_validation_fallback": r_fallback | c_fallback})
+    return alerts.withColumns({"safe_region": region, "country": country, "competitor_source": F.lit("pipeline"), "region_source": r_source, "country_source": c_source, "geo_validation_fallback": r_fallback | c_fallback}).drop("_key", "_says", "_matches", "_by_country")
 
 
 def strategist(alerts: DataFrame, company: str = "the company") -> DataFrame:
