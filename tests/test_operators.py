@@ -1,6 +1,5 @@
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,10 +10,9 @@ from newsloom.sources import payloads
 
 
 def articles(spark, *rows):
-    base = {"seq": 0, "title": "", "url": "", "provider": "gdelt", "source": "", "published_at": None, "snippet": ""}
-    pdf = [{**base, "seq": n, "url": f"https://e.com/{n}", **r} for n, r in enumerate(rows)]
-    return normalize.normalized(normalize.conformed(spark.createDataFrame(pd.DataFrame(pdf).astype(object).where(lambda d: d.notna(), None).to_dict("records"), schema=",".join(
-        f"{k} {'long' if k == 'seq' else 'array<string>' if k == 'competitor_hints' else 'string'}" for k in pdf[0]))))
+    base = {f.name: None for f in normalize.ARTICLE} | {"title": "", "provider": "gdelt", "source": "", "snippet": ""}
+    made = [tuple({**base, "seq": n, "url": f"https://e.com/{n}", **r}.values()) for n, r in enumerate(rows)]
+    return normalize.normalized(spark.createDataFrame(made, normalize.ARTICLE))
 
 
 @pytest.mark.parametrize("title, brand", [

@@ -59,6 +59,6 @@ def test_pair_expressions_agree_with_python(spark):
 
 def test_page_body():
     p = "x" * 45
-    assert html.page_body(f"<body><p>{'y' * 50}</p><article><p>{p}<p><b>{p}</b><script>no</script></article></body>") == f"{p}\n{p}"
+    assert html.page_body(f"<body><p>{'y' * 50}</p><article><p>{p}<p><b>{p}</b><script>no</script></article></body>") == f"{p} {p}\n{p}"
     assert html.page_body(f"<p>short</p><div>{'z ' * 50}</div>").startswith("short z")
     assert html.page_body("<p>short</p>") == "" == html.page_body(None)
