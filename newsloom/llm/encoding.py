@@ -11,6 +11,7 @@ ids. That equals encoding the whole text because the cuts lie where the tokenize
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -20,7 +21,7 @@ _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Encoder:
-    def __init__(self, path: str, mode: str = "whole", most_words: int = 500_000):
+    def __init__(self, path: str, mode: str = "whole", most_words: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,6 +77,17 @@ class Encoder:
         return np.frombuffer(self._ids(text), dtype=self.dtype) if text else np.empty(0, self.dtype)
 
 
+@functools.lru_cache(1)
+def shared(path: str, mode: str) -> Encoder:
+    """The worker's encoder: the words of one task serve the next."""
+    return Encoder(path, mode)
+
+
+def forget() -> None:
+    """Gives the worker's memory back when a job encodes no more."""
+    shared.cache_clear()
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 

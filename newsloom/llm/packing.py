@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch
-from newsloom.llm.encoding import Encoder, public_path
+from newsloom.llm.encoding import Encoder, forget, public_path, shared
 
 WINDOW = 2048
 END_ID = 1
@@ -37,7 +37,7 @@ def encoded(docs: DataFrame, path: str, mode: str, end_id: int = END_ID) -> Data
     """Token ids of each row, with the partition and the tokens of its source before it there."""
 
     def run(batches):
-        encode = Encoder(path, mode)
+        encode = shared(path, mode)
         part, sent = TaskContext.get().partitionId(), {}
         end = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
@@ -131,6 +131,7 @@ def pack(docs: DataFrame, path: str | None = None, mode: str = "leading", window
         "doc_id", "source", (F.col("at") + F.col("base")).alias("at"), "n", "ids")
 
     def run(batches):
+        forget()
         rounds = Rounds(sizes, window)
         for batch in batches:
             doc, source, at, n, ids = batch.columns

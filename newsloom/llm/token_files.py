@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.llm.encoding import Encoder, public_path
+from newsloom.llm.encoding import forget, public_path, shared
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
@@ -111,7 +111,7 @@ def write(docs: DataFrame, target: str, path: str | None = None, mode: str = "dr
     path = path or public_path("word_bpe_49k.json")
 
     def run(batches):
-        encode = Encoder(path, mode)
+        encode = shared(path, mode)
         base, part, shard = max(encode.vocab, end_id + 1), TaskContext.get().partitionId(), 0
         end = np.array([end_id], encode.dtype)
         ids, docs, count = [], [], 0
@@ -153,6 +153,7 @@ def read(spark: SparkSession, source: str) -> DataFrame:
     start = inside.join(before, "part").select("part", "shard", (F.col("p0") + F.col("s0")).alias("first"))
 
     def run(batches):
+        forget()
         for batch in batches:
             for r in batch.to_pylist():
                 u4 = {k: np.frombuffer(r[k], "<u4") for k in ("rules", "levels", "symbols")}
