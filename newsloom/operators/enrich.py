@@ -85,10 +85,8 @@ def alert_defaults(alerts: DataFrame) -> DataFrame:
 
 def _country_key(c: Column) -> Column:
     k = X.country_key(c)
-    out = k
-    for a, name in COUNTRY_NAMES.items():
-        out = F.when(k == a, F.lit(name.casefold())).otherwise(out)
-    return out
+    names = F.create_map(*[F.lit(x) for a, name in COUNTRY_NAMES.items() for x in (a, name.casefold())])
+    return F.coalesce(F.try_element_at(names, k), k)
 
 
 def _key(term: str) -> str:
