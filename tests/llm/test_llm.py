@@ -326,3 +326,29 @@ def test_pipeline_stages(spark, tmp_path):
     fps = [(r.doc_id, simhash.fingerprint(r.text, 5)) for r in d.orderBy("doc_id").collect()]
     root = _components(len(fps), lambda i, j: (fps[i][1] ^ fps[j][1]).bit_count() <= 2)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({fps[r][0] for r in root})
+
+
+def test_line_edit_similarity_is_exact(spark):
+    from newsloom.llm.common import Scratch
+
+    rng = random.Random(6)
+    pool = [f"w{k}" for k in range(40)]
+    texts = []
+    for n in range(30):
+        w = rng.choices(pool, k=rng.randint(12, 40))
+        texts.append(w)
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rng.randint(1, 4)):
+                k = rng.randrange(len(v))
+                v[k:k + 1] = rng.choice([[], [rng.choice(pool)], [v[k], rng.choice(pool)]])
+            texts.append(v)
+    d = docs(spark, [(n, " ".join(w), "s") for n, w in enumerate(texts)])
+    lines = {r.h1: r for r in line_dedup.occurrences(d).collect()}
+    by_h = {h: " ".join(texts[r.doc_id]) for h, r in lines.items()}
+    hs = sorted(by_h)
+    pairs = [(a, b) for n, a in enumerate(hs) for b in hs[n + 1:] if lines[a].doc_id // 4 == lines[b].doc_id // 4]
+    distinct = spark.createDataFrame([(h, lines[h].doc_id, lines[h].th, lines[h].line_no) for h in hs], "h1 long, doc_id long, th long, line_no int")
+    got = {(r.a, r.b) for r in line_dedup._verified(spark.createDataFrame(pairs, "a long, b long"), d, distinct, Scratch(spark)).collect()}
+    rows = spark.createDataFrame([(a, b, by_h[a], by_h[b]) for a, b in pairs], "a long, b long, x string, y string").withColumn("d", F.levenshtein("x", "y")).collect()
+    assert got == {(r.a, r.b) for r in rows if r.d <= int(max(len(r.x), len(r.y)) * 0.1 + 1e-9)} and got and len(got) < len(pairs)
