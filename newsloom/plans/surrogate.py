@@ -61,7 +61,7 @@ def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("k"), F.pmod("o_orderkey", F.lit(700)).cast("string")).alias("digest_key"), F.col("o_orderkey").alias("seq"), (F.pmod("o_orderkey", F.lit(11))).cast("int").alias("score"),
         (F.lit("2024-01-25").cast("timestamp") + F.make_dt_interval(F.pmod("o_orderkey", F.lit(7)).cast("int"))).alias("created_at"),
         F.when(F.pmod("o_orderkey", F.lit(3)) > 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("o_orderkey", F.lit(29)).cast("int")), "yyyy-MM-dd")).alias("published_at"),
-    ).where(F.col("seq") <= 2800)
+    )
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
