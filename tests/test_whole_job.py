@@ -1,7 +1,11 @@
 """Cases where an operator once did less than its whole job."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from newsloom.llm import line_dedup
+
 
 def test_state_queries_read_all_orders(spark):
     from newsloom.plans import registry, surrogate
@@ -11,3 +15,58 @@ def test_state_queries_read_all_orders(spark):
     assert surrogate.stored_alerts(spark, d).count() == orders.count() > 2801
     assert registry.QUERIES["already_sent_anti"](spark, d).agg(F.max("seq")).head()[0] > 2800
     assert registry.QUERIES["recent_history_topk"](spark, d).count() == 200
+
+
+def _distance(x: str, y: str) -> int:
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
+def _kept_lines(lines: list[str]) -> list[int]:
+    """The first line of each group that edit similarity 0.9 links."""
+    root = list(range(len(lines)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(lines):
+        for j in range(i):
+            y, most = lines[j], int(max(len(x), len(lines[j])) * 0.1 + 1e-9)
+            if abs(len(x) - len(y)) <= most and _distance(x, y) <= most:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [i for i in range(len(lines)) if root[i] == i]
+
+
+def _edited(rng: random.Random, line: str, edits: int) -> str:
+    """The line with so many letters replaced, put in or taken out anywhere."""
+    s = list(line)
+    for _ in range(edits):
+        k = rng.randrange(len(s))
+        s[k:k + 1] = rng.choice([[rng.choice("xyz")], [s[k], rng.choice("xyz")], []])
+    return " ".join("".join(s).split())
+
+
+def _lines(rng: random.Random, lengths: list[int]) -> list[str]:
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(120)]
+    out = []
+    for n in lengths:
+        line = " ".join(rng.choices(words, k=n))
+        out += [line, *(_edited(rng, line, max(1, round(len(line) * part))) for part in (0.01, 0.07, 0.1, 0.12))]
+    return out
+
+
+def _recall_is_whole(spark, lines):
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in line_dedup.deduplicated(rows).collect() if not r.n_removed)
+    assert got == _kept_lines(lines) and len(got) < len(lines)
+
+
+def test_fuzzy_lines_against_brute_force(spark):
+    _recall_is_whole(spark, _lines(random.Random(11), [8, 9, 10, 12, 15, 20, 20, 26, 26, 34, 50]))
