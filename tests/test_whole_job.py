@@ -70,3 +70,12 @@ def _recall_is_whole(spark, lines):
 
 def test_fuzzy_lines_against_brute_force(spark):
     _recall_is_whole(spark, _lines(random.Random(11), [8, 9, 10, 12, 15, 20, 20, 26, 26, 34, 50]))
+
+
+def test_short_and_very_long_lines_are_compared(spark):
+    rng = random.Random(12)
+    _recall_is_whole(spark, _lines(rng, [1, 2, 2, 3, 3, 4, 4, 5]) + ["license mit", "licence mit"])
+    long = " ".join("".join(rng.choices("etaoinshr", k=4)) for _ in range(8200))
+    rows = [(1, long), (2, _edited(rng, long, 300)), (3, "other " + long[: len(long) // 2])]
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got] == [0, 1, 0]
