@@ -2,8 +2,8 @@
 
 A text is the first layer of a worklist. Each layer is scanned, and whatever can be unwrapped in it becomes a further
 layer: percent escapes, Unicode escapes, base64 runs, and compressed data inside those (gzip, zlib, bzip2, xz,
-Zstandard). A layer whose content was seen before in this text is not entered again, which ends cycles (compression
-quines, for one); otherwise the list runs until nothing new comes out. Every layer knows for each of its
+Zstandard). A layer whose content was seen before from the same place is not entered again, which ends cycles
+(compression quines, for one); otherwise the list runs until nothing new comes out. Every layer knows for each of its
 characters the span of the original text it came from, so findings at any depth point into the original.
 
 Decompression of one layer stops at ``MAX_LAYER`` bytes, a guard against bombs; the finding list says so by a row of
@@ -50,6 +50,11 @@ class Layer:
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.begin is None else (int(self.begin[a:b].min()), int(self.end[a:b].max()))
 
+    def key(self) -> bytes:
+        """A digest of the text and where it came from: what stands in two places counts twice."""
+        begin, end = self.maps()
+        return hashlib.sha1(b"".join((hashlib.sha1(self.text.encode("utf-8", "surrogatepass")).digest(), begin.tobytes(), end.tobytes()))).digest()
+
     def maps(self) -> tuple[np.ndarray, np.ndarray]:
         if self.begin is None:
             at = np.arange(len(self.text))
@@ -185,7 +190,7 @@ def findings(text: str | None) -> list[tuple[str, int, int, str]]:
         return []
     found = {(k, a, b): "" for k, a, b in matches(text)}
     cut: list = []
-    work, seen = [Layer(text, "")], {text}
+    work, seen = [Layer(text, "")], set()
     while work:
         layer = work.pop()
         if layer.path:
@@ -194,8 +199,8 @@ def findings(text: str | None) -> list[tuple[str, int, int, str]]:
                     found.setdefault((k, *layer.span(a, b)), layer.path)
         inner = [x for x in (_percent(layer), _unicode(layer)) if x]
         for x in (*inner, *_base64(layer, cut)):
-            if x.text not in seen:
-                seen.add(x.text)
+            if (known := x.key()) not in seen:
+                seen.add(known)
                 work.append(x)
     rows = [(k, a, b, p) for (k, a, b), p in found.items()] + [("truncated", a, b, p) for (a, b), p in cut]
     return sorted(rows, key=lambda r: (r[1], (*KINDS, "truncated").index(r[0]), r[2]))

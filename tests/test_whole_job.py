@@ -1,10 +1,12 @@
 """Cases where an operator once did less than its whole job."""
 
+import base64
+import gzip
 import random
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import line_dedup
+from newsloom.llm import line_dedup, secret_scan
 
 
 def test_state_queries_read_all_orders(spark):
@@ -79,3 +81,12 @@ def test_short_and_very_long_lines_are_compared(spark):
     rows = [(1, long), (2, _edited(rng, long, 300)), (3, "other " + long[: len(long) // 2])]
     got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.n_removed for r in got] == [0, 1, 0]
+
+
+def test_repeated_secret_layers_each_have_a_span():
+    one = base64.b64encode(b"my secret=abcdefghij").decode()
+    packed = base64.b64encode(gzip.compress(b"my secret=abcdefghij")).decode()
+    text = f"aa {one} bb {one} cc {packed} dd {packed}"
+    got = secret_scan.findings(text)
+    assert [(a, b) for _, a, b, p in got if p == "base64"] == [(at + 4, at + 27) for at in (3, 3 + len(one) + 4)]
+    assert len({(a, b) for _, a, b, p in got if p == "base64>gzip"}) == 2 and len(got) == 4
