@@ -1,13 +1,13 @@
 """Secret scans over nested encodings (operator 3).
 
 A text is the first layer of a worklist. Each layer is scanned, and whatever can be unwrapped in it becomes a further
-layer: percent escapes, Unicode escapes, base64 runs, and compressed data inside those (gzip, zlib, bzip2, xz,
-Zstandard). A layer whose content was seen before from the same place is not entered again, which ends cycles
+layer: percent escapes, Unicode escapes, base64 runs (over line breaks too), and compressed data inside any of those
+(gzip, zlib, bzip2, xz, Zstandard; all members). A layer whose content was seen before from the same place is not entered again, which ends cycles
 (compression quines, for one); otherwise the list runs until nothing new comes out. Every layer knows for each of its
 characters the span of the original text it came from, so findings at any depth point into the original.
 
 Decompression of one layer stops at ``MAX_LAYER`` bytes, a guard against bombs; the finding list says so by a row of
-kind ``truncated``. Nothing else is bounded: texts of any length are scanned whole.
+kind ``truncated``, as for streams that do not reach their end. Nothing else is bounded: texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -36,6 +36,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_BASE64)
+#: A block of base64 lines: the first of some length, the rest with nothing but indentation beside them, the last with anything after it.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}" % LEAST_BASE64)
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-])+")
+_URL_TOKEN = re.compile(r"%([0-9A-Fa-f]{2})|.")
+_SLASH_BYTES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[nrtabfv0\\'\"]|[ -\[\]-~])+")
+_SLASH_TOKEN = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\.|.")
+_SLASHES = {"n": 10, "r": 13, "t": 9, "a": 7, "b": 8, "f": 12, "v": 11, "0": 0}
+_MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\0|\x28\xb5\x2f\xfd", re.S)
 FINDINGS = "array<struct<kind:string,start:long,end:long,path:string>>"
 
 
@@ -105,17 +114,19 @@ def _replaced(layer: Layer, step: str, pieces: list[tuple[int, int, str, list[tu
 def _percent(layer: Layer) -> Layer | None:
     pieces = []
     for m in _PERCENT.finditer(layer.text):
-        raw = bytes.fromhex(m.group().replace("%", ""))
-        try:
-            new = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        spans, at = [], m.start()
-        for c in new:
-            k = 3 * len(c.encode("utf-8"))
-            spans.append((at, at + k))
+        # bytes that are not UTF-8 stay escaped; what stands between them is decoded
+        at, new, spans = m.start(), [], []
+        for c in bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "surrogateescape"):
+            k = 3 if "\udc80" <= c <= "\udcff" else 3 * len(c.encode("utf-8"))
+            if "\udc80" <= c <= "\udcff":
+                if new:
+                    pieces.append((spans[0][0], at, "".join(new), spans))
+                new, spans = [], []
+            else:
+                new.append(c), spans.append((at, at + k))
             at += k
-        pieces.append((m.start(), m.end(), new, spans))
+        if new:
+            pieces.append((spans[0][0], at, "".join(new), spans))
     return _replaced(layer, "url", pieces)
 
 
@@ -128,27 +139,30 @@ def _unicode(layer: Layer) -> Layer | None:
     return _replaced(layer, "unicode", pieces)
 
 
-def _inflate(raw: bytes) -> tuple[str, bytes, bool] | None:
-    """(format, content, cut short) of compressed bytes."""
-    def pumped(d):
-        return d.decompress(raw, MAX_LAYER), not d.eof
+def _format(raw: bytes) -> str | None:
+    if raw[:2] == b"\x1f\x8b":
+        return "gzip"
+    if raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0:
+        return "zlib"
+    return next((name for magic, name in ((b"BZh", "bzip2"), (b"\xfd7zXZ\0", "xz"), (b"\x28\xb5\x2f\xfd", "zstd")) if raw.startswith(magic)), None)
+
 
+def _stream(form: str, raw: bytes, most: int) -> tuple[bytes, bool, bytes] | None:
+    """(content, whether it ended, what follows) of the first stream."""
     try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            d = zlib.decompressobj(47)
-            out = d.decompress(raw, MAX_LAYER)
-            return ("gzip" if raw[:1] == b"\x1f" else "zlib"), out, bool(d.unconsumed_tail)
-        if raw[:3] == b"BZh":
-            return "bzip2", *pumped(bz2.BZ2Decompressor())
-        if raw[:6] == b"\xfd7zXZ\0":
-            return "xz", *pumped(lzma.LZMADecompressor())
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
+        if form == "zstd":
             import io
 
             import zstandard
 
-            out = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw)).read(MAX_LAYER + 1)
-            return "zstd", out[:MAX_LAYER], len(out) > MAX_LAYER
+            out = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw)).read(most + 1)
+            if len(out) > most:
+                return out[:most], False, b""
+            d = zstandard.ZstdDecompressor().decompressobj()
+            d.decompress(raw)
+            return out, d.eof, d.unused_data
+        d = zlib.decompressobj(47) if form in ("gzip", "zlib") else bz2.BZ2Decompressor() if form == "bzip2" else lzma.LZMADecompressor()
+        return d.decompress(raw, most), d.eof, d.unused_data
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
         return None
     except Exception as e:  # zstandard's own error type
@@ -157,30 +171,124 @@ def _inflate(raw: bytes) -> tuple[str, bytes, bool] | None:
     return None
 
 
+def _inflate(raw: bytes) -> tuple[str, bytes, bool, bytes] | None:
+    """(format, content of all streams, cut short, what follows them) of compressed bytes."""
+    form = _format(raw)
+    if not form or not (got := _stream(form, raw, MAX_LAYER)) or form == "zlib" and not got[0] and not got[1]:
+        return None
+    out, whole, rest = got
+    parts, size = [out], len(out)
+    while whole and _format(after := rest.lstrip(b"\0") if form in ("gzip", "xz") else rest) == form:
+        if size >= MAX_LAYER or not (got := _stream(form, after, MAX_LAYER - size)):
+            whole = size < MAX_LAYER and whole
+            break
+        out, whole, rest = got
+        parts.append(out)
+        size += len(out)
+    return form, b"".join(parts), not whole, rest
+
+
+def _unwrapped(layer: Layer, path: str, raw: bytes, place: tuple[int, int], cut: list) -> tuple[str, bytes]:
+    """The path and bytes below all compression of ``raw``."""
+    seen = set()
+    while (found := _inflate(raw)) and hashlib.sha1(raw).digest() not in seen:
+        seen.add(hashlib.sha1(raw).digest())
+        path, raw = f"{path}>{found[0]}".lstrip(">"), found[1]
+        if found[2]:
+            cut.append((layer.span(*place), path))
+    return path, raw
+
+
+def _constant(layer: Layer, path: str, raw: bytes, place: tuple[int, int]) -> Layer | None:
+    if not (made := _characters(raw)):
+        return None
+    a, b = layer.span(*place)
+    return Layer(made[0], path, np.full(len(made[0]), a), np.full(len(made[0]), b))
+
+
+def _escaped(layer: Layer, cut: list):
+    """Compressed bytes that stand as percent or backslash escapes, the plain characters among them being bytes too."""
+    for step, mark, run, token in (("url", "%", _URL_BYTES, _URL_TOKEN), ("unicode", "\\", _SLASH_BYTES, _SLASH_TOKEN)):
+        if mark not in layer.text:
+            continue
+        for m in run.finditer(layer.text):
+            if mark not in m.group():
+                continue
+            raw, at = bytearray(), []
+            for t in token.finditer(m.group()):
+                code = next((g for g in t.groups() if g), None)
+                c = t.group()
+                raw.append(int(code, 16) if code else 32 if c == "+" and step == "url" else _SLASHES.get(c[1], ord(c[1])) if c[0] == "\\" else ord(c))
+                at.append(m.start() + t.start())
+            at.append(m.end())
+            raw, upto = bytes(raw), 0
+            for x in _MAGIC.finditer(raw):
+                if x.start() < upto or not (found := _inflate(raw[x.start():])):
+                    continue
+                upto = len(raw) - len(found[3])
+                place = at[x.start()], at[upto]
+                path, inner = _unwrapped(layer, f"{layer.path}>{step}".lstrip(">"), raw[x.start():upto], place, cut)
+                if made := _constant(layer, path, inner, place):
+                    yield made
+
+
+def _decoded(run: str) -> bytes | None:
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _joined(text: str):
+    """Of each block of base64 lines, the ways to read it as one run, longest first: lists of (start, end)."""
+    for m in _WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m.group())]
+        width = lines[0][1] - lines[0][0]
+        even = next((k for k, (a, b) in enumerate(lines) if b - a != width), len(lines))
+        ways = {len(lines), len(lines) - 1, even, even + 1 if even < len(lines) and lines[even][1] - lines[even][0] < width else even}
+        yield [lines[:k] for k in sorted(ways, reverse=True) if k > 1]
+
+
 def _base64(layer: Layer, cut: list):
+    begin, end = layer.maps()
+    path, done = f"{layer.path}>base64".lstrip(">"), []
+    for ways in _joined(layer.text):
+        for lines in ways:
+            raw = _decoded("".join(layer.text[a:b] for a, b in lines))
+            if raw is None:
+                continue
+            place = lines[0][0], lines[-1][1]
+            found = _inflate(raw)
+            if found:
+                if found[2] and lines is not ways[-1]:
+                    continue
+                below, raw = _unwrapped(layer, path, raw, place, cut)
+                made = _constant(layer, below, raw, place)
+            elif made := _characters(raw):
+                text, lo, hi = made
+                at = np.concatenate([np.arange(a, b) for a, b in lines])
+                made = Layer(text, path, begin[at[lo * 8 // 6]], end[at[(hi * 8 - 1) // 6]])
+            if made:
+                yield made
+                if not found or not found[2] and not found[3]:
+                    done.append(place)
+                break
     for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        while done and done[0][1] <= m.start():
+            done.pop(0)
+        if done and done[0][0] <= m.start() and m.end() <= done[0][1]:
             continue
-        begin, end = layer.maps()
-        path, seen, whole = f"{layer.path}>base64".lstrip(">"), set(), False
-        while (found := _inflate(raw)) and hashlib.sha1(raw).digest() not in seen:
-            seen.add(hashlib.sha1(raw).digest())
-            path, raw, whole = f"{path}>{found[0]}", found[1], True
-            if found[2]:
-                cut.append((layer.span(*m.span()), path))
-        made = _characters(raw)
-        if not made:
+        if (raw := _decoded(m.group())) is None:
             continue
-        text, lo, hi = made
-        if whole:
-            a, b = layer.span(*m.span())
-            yield Layer(text, path, np.full(len(text), a), np.full(len(text), b))
-        else:
+        below, inner = _unwrapped(layer, path, raw, m.span(), cut)
+        if below != path:
+            if made := _constant(layer, below, inner, m.span()):
+                yield made
+        elif made := _characters(raw):
+            text, lo, hi = made
             yield Layer(text, path, begin[m.start() + lo * 8 // 6], end[m.start() + (hi * 8 - 1) // 6])
 
 
@@ -198,7 +306,7 @@ def findings(text: str | None) -> list[tuple[str, int, int, str]]:
                 if layer.fresh is None or layer.fresh[a:b].any():
                     found.setdefault((k, *layer.span(a, b)), layer.path)
         inner = [x for x in (_percent(layer), _unicode(layer)) if x]
-        for x in (*inner, *_base64(layer, cut)):
+        for x in (*inner, *_base64(layer, cut), *_escaped(layer, cut)):
             if (known := x.key()) not in seen:
                 seen.add(known)
                 work.append(x)

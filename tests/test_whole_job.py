@@ -1,8 +1,12 @@
 """Cases where an operator once did less than its whole job."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
+import urllib.parse
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -90,3 +94,31 @@ def test_repeated_secret_layers_each_have_a_span():
     got = secret_scan.findings(text)
     assert [(a, b) for _, a, b, p in got if p == "base64"] == [(at + 4, at + 27) for at in (3, 3 + len(one) + 4)]
     assert len({(a, b) for _, a, b, p in got if p == "base64>gzip"}) == 2 and len(got) == 4
+
+
+def _layered(text: str) -> set:
+    return {(k, p) for k, _, _, p in secret_scan.findings(text) if p}
+
+
+def test_wrapped_base64_is_joined():
+    plain = "some words before it " * 2 + "password=hunter22andmuchmore " + "some words after it " * 4
+    wrapped = base64.encodebytes(plain.encode()).decode()
+    got = secret_scan.findings(f"-----\n{wrapped}-----")
+    assert [(k, p) for k, _, _, p in got] == [("assign", "base64")] and "\n" in f"-----\n{wrapped}"[got[0][1]:got[0][2]]
+    for pack, name in ((gzip.compress, "gzip"), (zlib.compress, "zlib"), (bz2.compress, "bzip2"), (lzma.compress, "xz")):
+        noise = " ".join(str(random.Random(3).random()) for _ in range(9))
+        data = pack(f"{noise} password=hunter22 {noise}".encode())
+        assert _layered("x\n" + base64.encodebytes(data).decode() + "y") == {("assign", f"base64>{name}")}
+        short = base64.b64encode(data[:-6]).decode()
+        assert "truncated" in {k for k, _, _, _ in secret_scan.findings(f"a {short} b")}
+        two = base64.b64encode(pack(b"first") + pack(b"secret=abcdefgh")).decode()
+        if name != "zlib":
+            assert _layered(f"a {two} b") == {("assign", f"base64>{name}")}
+
+
+def test_escapes_with_other_bytes_and_compressed_bytes():
+    hidden = "".join(f"%{b:02x}" for b in b"\xffpassword=hunter22")
+    assert secret_scan.findings(f"q={hidden}") == [("assign", 5, 2 + len(hidden), "url")]
+    data = gzip.compress(b"my secret=abcdefghij", mtime=0)
+    for text, path in (("".join(f"%{b:02X}" for b in data), "url>gzip"), (urllib.parse.quote(data), "url>gzip"), ("".join(f"\\x{b:02x}" for b in data), "unicode>gzip"), (repr(data), "unicode>gzip")):
+        assert _layered(f"d={text} z") == {("assign", path)}
