@@ -122,3 +122,13 @@ def test_escapes_with_other_bytes_and_compressed_bytes():
     data = gzip.compress(b"my secret=abcdefghij", mtime=0)
     for text, path in (("".join(f"%{b:02X}" for b in data), "url>gzip"), (urllib.parse.quote(data), "url>gzip"), ("".join(f"\\x{b:02x}" for b in data), "unicode>gzip"), (repr(data), "unicode>gzip")):
         assert _layered(f"d={text} z") == {("assign", path)}
+
+
+def test_document_dedup_keeps_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    a, b, c, d = (" ".join("".join(rng.choices("etaoinshr", k=5)) for _ in range(30)) for _ in range(4))
+    rows = [(1, a), (1, b), (None, c), (2, a), (None, a), (None, d), (3, d), (1, a)]
+    got = corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (1, b), (0, c), (3, d)])
