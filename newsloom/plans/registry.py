@@ -601,7 +601,7 @@ def pipeline_digest(spark, d):
 
 @query("pipeline_summary")
 def pipeline_summary(spark, d):
-    s = pipeline.run(S.articles(spark, d), CFG, S.AS_OF, dedup=False)["summary"]
+    s = pipeline.run(S.articles(spark, d), CFG, S.AS_OF)["summary"]
     return s.withColumn("drop_reasons", F.to_json("drop_reasons"))
 
 

@@ -132,3 +132,11 @@ def test_document_dedup_keeps_null_and_shared_ids(spark):
     rows = [(1, a), (1, b), (None, c), (2, a), (None, a), (None, d), (3, d), (1, a)]
     got = corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (1, b), (0, c), (3, d)])
+
+
+def test_summary_is_that_of_the_full_run(spark):
+    from newsloom.plans import pipeline, registry, surrogate
+
+    d = "/root/testdata/sf0.001"
+    whole = pipeline.run(surrogate.articles(spark, d), surrogate.CONFIG, surrogate.AS_OF)["summary"].withColumn("drop_reasons", F.to_json("drop_reasons"))
+    assert [r.asDict() for r in registry.pipeline_summary(spark, d).collect()] == [r.asDict() for r in whole.collect()]
