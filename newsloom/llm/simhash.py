@@ -20,6 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch, components
@@ -184,6 +185,44 @@ def linked(fps: DataFrame, radius: int = 2, heavy: int = 65536) -> DataFrame:
     )
 
 
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, sh) with sh the distinct hashes of the text's shingles, as fingerprint() takes them; texts without a word have no row."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches):
+        for batch in batches:
+            ids, sets = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
+                if words:
+                    found = {xxh64_intdigest(b" ".join(words[k:k + shingle]), SEED) for k in range(max(1, len(words) - shingle + 1))}
+                    ids.append(i), sets.append(np.array(list(found), dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "sh"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, sh array<long>")
+
+
+def shingle_links(docs: DataFrame, groups: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """All pairs (a, b) of ids in different groups (id, root) whose shingle sets have a Jaccard similarity of at least 0.8.
+
+    Exact: sets of n shingles with that similarity share at least one of their n - ceil(0.8 n) + 1 rarest.
+    Ids are distinct; the members of one group are one row a key.
+    """
+    sets = scratch.cut(shingle_sets(docs, id_col, text_col, shingle).join(groups, "id").withColumn("n", F.size("sh")))
+    each = sets.select("id", "root", "n", F.explode("sh").alias("s"))
+    counted = each.join(each.groupBy("s").count(), "s")
+    rank = F.row_number().over(W.partitionBy("id").orderBy("count", "s"))
+    first = counted.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).where("count > 1")
+    held = scratch.cut(first.groupBy("s", "root").agg(F.collect_list(F.struct("id", "n")).alias("of")))
+    scratch.release()
+    other = held.select("s", F.col("root").alias("r2"), F.col("of").alias("of2"))
+    pairs = held.join(other, "s").where("root < r2").select(F.explode("of").alias("x"), "of2").select("x", F.explode("of2").alias("y"))
+    pairs = pairs.where(F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return scratch.cut(both.where(shared * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row (id, fp, component_id) per row of ``docs``; component_id is the least id reachable over links.
 

@@ -10,7 +10,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from newsloom.llm import line_dedup, secret_scan
+from newsloom.llm import line_dedup, secret_scan, simhash
 
 
 def test_state_queries_read_all_orders(spark):
@@ -140,3 +140,28 @@ def test_summary_is_that_of_the_full_run(spark):
     d = "/root/testdata/sf0.001"
     whole = pipeline.run(surrogate.articles(spark, d), surrogate.CONFIG, surrogate.AS_OF)["summary"].withColumn("drop_reasons", F.to_json("drop_reasons"))
     assert [r.asDict() for r in registry.pipeline_summary(spark, d).collect()] == [r.asDict() for r in whole.collect()]
+
+
+def test_document_dedup_reaches_similarity(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    rows = []
+    for _ in range(12):
+        words = ["".join(rng.choices("etaoinshr", k=5)) for _ in range(rng.choice([60, 120, 200]))]
+        rows.append(words)
+        for edits in (1, 2, 3, 4):
+            near = list(words)
+            for k in rng.sample(range(len(near)), edits):
+                near[k] = "other"
+            rows.append(near)
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in rows]
+    prints = [simhash.fingerprint(" ".join(w), 5) for w in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 2):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    made = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(rows)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_documents(spark, made, "").collect()) == sorted(set(root))
