@@ -7,6 +7,9 @@ ids. That equals encoding the whole text because the cuts lie where the tokenize
 * mode ``leading`` (a word carries the blank before it): at a single blank between two characters that are not white
   space; around other white space the text stays in one piece;
 * mode ``whole``: no cuts, for any other tokenizer.
+
+Ids are those that the library gives for the file as it is: the string of a special token in a text becomes its id, and such a
+text is encoded whole. With ``plain_specials`` these strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -18,42 +21,58 @@ import re
 import numpy as np
 
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: What an entry of the cache takes besides its ids and as many characters.
+_ENTRY = 160
 
 
 class Encoder:
-    def __init__(self, path: str, mode: str = "whole", most_words: int = 800_000):
+    def __init__(self, path: str, mode: str = "whole", most_bytes: int = 128 << 20, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = plain_specials
+        special = [] if plain_specials else [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocab <= 65536 else "<u4")
         self._batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        self.most, self.words = most_words, {}
-        self.bar = self.tok.encode(" |", add_special_tokens=False).ids
+        self.most, self.words, self.old, self.size = most_bytes, {}, {}, 0
+        # tokens that end a word, or begin one, tell apart the words of a text that go through the library together
+        self.edge = np.zeros(self.vocab, bool)
+        for token, at in self.tok.get_vocab(with_added_tokens=False).items():
+            self.edge[at] = token.endswith("</w>") if mode == "dropped" else token.startswith("Ġ")
+        self.ends = mode == "dropped"
         self._ids = {"dropped": self._dropped, "leading": self._leading, "whole": self._whole}[mode]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self._batch(texts, add_special_tokens=False)]
 
     def _fill(self, words, prefix: str = "") -> None:
-        if len(self.words) > self.most:
-            self.words.clear()
+        if self.size > self.most // 2:  # words not met since the last turn go, the others move over as they are met
+            self.words, self.old, self.size = {}, self.words, 0
         new = set(words).difference(self.words)
-        # many words go through the library as one text, with a token of its own between them
-        plain = [w for w in new if "|" not in w] if len(self.bar) == 1 else []
-        for at in range(0, len(plain), 256):
-            some = plain[at:at + 256]
-            ids = np.array(self._batch([prefix + " | ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            cut = np.r_[-1, np.flatnonzero(ids == self.bar[0]), len(ids)]
-            if len(cut) == len(some) + 1:
+        again = {w: self.old[w] for w in new if w in self.old}
+        self.words.update(again)
+        self.size += sum(map(len, again.values())) * 2 + _ENTRY * len(again)
+        new.difference_update(again)
+        # words of letters alone are one piece each for these tokenizers, so many go through as one text
+        plain = [w for w in new if w.isalpha()]
+        for at in range(0, len(plain), 1024):
+            some = plain[at:at + 1024]
+            ids = np.array(self._batch([prefix + " ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            edge = np.flatnonzero(self.edge[ids])
+            if len(edge) == len(some):
                 raw, k = ids.tobytes(), self.dtype.itemsize
-                bounds = (cut * k).tolist()
-                self.words.update(zip(some, [raw[a + k:b] for a, b in zip(bounds, bounds[1:])]))
-                new.difference_update(some)
+                bounds = ((np.r_[0, edge + 1] if self.ends else np.r_[edge, len(ids)]) * k).tolist()
+                if bounds[0] == 0 and bounds[-1] == len(raw):
+                    self.words.update(zip(some, [raw[a:b] for a, b in zip(bounds, bounds[1:])]))
+                    new.difference_update(some)
+                    self.size += 2 * len(raw) + _ENTRY * len(some)
         rest = list(new)
-        self.words.update(zip(rest, self._raw([prefix + w for w in rest])))
+        made = self._raw([prefix + w for w in rest])
+        self.words.update(zip(rest, made))
+        self.size += sum(map(len, rest)) + sum(map(len, made)) + _ENTRY * len(rest)
 
     def _joined(self, words: list[str], prefix: str = "") -> bytes:
         try:
@@ -74,7 +93,10 @@ class Encoder:
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Ids of a text; null counts as empty."""
-        return np.frombuffer(self._ids(text), dtype=self.dtype) if text else np.empty(0, self.dtype)
+        if not text:
+            return np.empty(0, self.dtype)
+        whole = self.special is not None and self.special.search(text)
+        return np.frombuffer(self._whole(text) if whole else self._ids(text), dtype=self.dtype)
 
 
 @functools.lru_cache(1)
