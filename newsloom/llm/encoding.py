@@ -21,6 +21,8 @@ import re
 import numpy as np
 
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: Letters, then signs that are a piece of their own after letters.
+_STEM = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: What an entry of the cache takes besides its ids and as many characters.
 _ENTRY = 160
 
@@ -37,7 +39,7 @@ class Encoder:
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocab <= 65536 else "<u4")
         self._batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        self.most, self.words, self.old, self.size = most_bytes, {}, {}, 0
+        self.most, self.words, self.old, self.tails, self.size = most_bytes, {}, {}, {}, 0
         # tokens that end a word, or begin one, tell apart the words of a text that go through the library together
         self.edge = np.zeros(self.vocab, bool)
         for token, at in self.tok.get_vocab(with_added_tokens=False).items():
@@ -58,6 +60,26 @@ class Encoder:
         new.difference_update(again)
         # words of letters alone are one piece each for these tokenizers, so many go through as one text
         plain = [w for w in new if w.isalpha()]
+        parts = [m for m in map(_STEM.fullmatch, new.difference(plain)) if m and m[1].isalpha()]
+        self._add_plain(list({*plain, *(m[1] for m in parts if m[1] not in self.words)}), new, prefix)
+        for m in parts:
+            stem = self.words.get(m[1])
+            if stem is not None:
+                tail = self.tails.get(m[2])
+                if tail is None:
+                    tail = self.tails[m[2]] = self._raw([m[2]])[0]
+                self.words[m[0]] = stem + tail
+                self.size += 2 * len(stem) + _ENTRY
+                new.discard(m[0])
+        if len(self.tails) > 65536:
+            self.tails.clear()
+        rest = list(new)
+        made = self._raw([prefix + w for w in rest])
+        self.words.update(zip(rest, made))
+        self.size += sum(map(len, rest)) + sum(map(len, made)) + _ENTRY * len(rest)
+
+    def _add_plain(self, plain: list[str], new: set[str], prefix: str) -> None:
+        """Adds words of letters whose ids can be told apart by their edges, and takes them out of ``new``."""
         for at in range(0, len(plain), 1024):
             some = plain[at:at + 1024]
             ids = np.array(self._batch([prefix + " ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
@@ -69,10 +91,6 @@ class Encoder:
                     self.words.update(zip(some, [raw[a:b] for a, b in zip(bounds, bounds[1:])]))
                     new.difference_update(some)
                     self.size += 2 * len(raw) + _ENTRY * len(some)
-        rest = list(new)
-        made = self._raw([prefix + w for w in rest])
-        self.words.update(zip(rest, made))
-        self.size += sum(map(len, rest)) + sum(map(len, made)) + _ENTRY * len(rest)
 
     def _joined(self, words: list[str], prefix: str = "") -> bytes:
         try:
