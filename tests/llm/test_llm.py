@@ -324,7 +324,9 @@ def test_pipeline_stages(spark, tmp_path):
     assert lines.columns == d.columns
     kept = corpus_pipeline.dedup_documents(spark, d, "")
     fps = [(r.doc_id, simhash.fingerprint(r.text, 5)) for r in d.orderBy("doc_id").collect()]
-    root = _components(len(fps), lambda i, j: (fps[i][1] ^ fps[j][1]).bit_count() <= 2)
+    words = [(r.text or "").encode().lower().split() for r in d.orderBy("doc_id").collect()]
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = _components(len(fps), lambda i, j: (fps[i][1] ^ fps[j][1]).bit_count() <= 2 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({fps[r][0] for r in root})
 
 
