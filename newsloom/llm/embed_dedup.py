@@ -104,16 +104,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """(vec_id, n_links, component_id, kept), one row per input row.
 
     Null, empty and zero vectors, and those with null, NaN or infinite components, link with nothing; so do vectors of
-    different dimensions. Repeated rows count as separate vectors; an empty table gives an empty result.
+    different dimensions. Repeated rows count as separate vectors, and rows that share an id are different vectors too:
+    what links is the vector. A null id never names a component that has another id, and is kept only where none has;
+    an empty table gives an empty result. Other columns are neither read nor returned.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     v = F.col(vec_col)
-    # repeated ids stay apart by the class alone; NaN compares greater than infinity in Spark
+    # NaN compares greater than infinity in Spark
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(good, F.lit(False)), v).alias("v"))
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = scratch.cut(classes.withColumn("dims", F.size("v")))
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    # a class is known by a number of its own, as ids may be null or repeated
+    classes = scratch.cut(classes.withColumn("dims", F.size("v")).withColumn("rep", F.monotonically_increasing_id()))
     tiles = max(1, -(-classes.count() // tile))
     every = F.sequence(F.lit(0), F.lit(tiles - 1))
     dealt = (
@@ -123,9 +126,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = scratch.cut(dealt.groupBy("dims", "p", "q").applyInPandas(_task(threshold), "rep long, links long, root long"))
     member = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = (
-        classes.join(links, "rep", "left").join(member, classes.rep == member.node, "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    )
-    out = rows.join(named, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    named = classes.join(links, "rep", "left").join(member, classes.rep == member.node, "left").select(
+        "v", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    named = scratch.cut(named)
+    name = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(name, "root").select("v", "n_links", "component_id", F.lit(True).alias("known"))
+    out = rows.join(named, "v", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
