@@ -8,12 +8,16 @@ every frame's byte offset.
 ``store`` makes such a stream around any bytes, without loss: MPEG-1 Layer III mono frames at 48 kHz with empty
 side information, whose main data are then ancillary bytes by the standard. They carry the payload; the last frame has
 the least bitrate that holds the rest, so the stream has variable bitrate, a Xing table, and an ID3v2 tag that holds the
-payload's length in a private frame. ``payload`` reads it back from the parsed frames.
+payload's length in a private frame. An empty frame ends the stream, so that no payload stands where a parser looks for
+trailing tags. ``payload`` reads it back from the parsed frames.
+
+Checksums are verified for Layers I and III; that of Layer II covers a part that depends on its allocation tables.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import hashlib
 import struct
 import zlib
@@ -82,6 +86,16 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def _allocation(mode: int) -> int:
+    """Bytes of the bit allocation of a Layer I frame, by the last byte of its header: four bits a band and channel, joint bands once."""
+    kind, bound = mode >> 6, 32
+    if kind == 3:
+        return 16
+    if kind == 1:
+        bound = 4 * ((mode >> 4 & 3) + 1)
+    return (2 * bound + 32 - bound) // 2
+
+
 def _syncsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
@@ -122,8 +136,9 @@ def _table(frame: bytes, side: int, protected: bool):
                 toc = frame[k2:k2 + 100]
             return frame[k:k + 4].decode(), frames, size, toc
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
-        size, frames = struct.unpack(">II", frame[46:54])
-        return "VBRI", frames, size, frame[62:]
+        size, frames, entries, scale, width, _ = struct.unpack(">IIHHHH", frame[46:62])
+        points = [int.from_bytes(frame[62 + k * width:62 + (k + 1) * width], "big") * scale for k in range(entries)]
+        return "VBRI", frames, size, [0, *itertools.accumulate(points)]
     return None
 
 
@@ -146,9 +161,10 @@ def parse(data: bytes) -> dict:
         _, layer, protected, kbits, rate, length, samples, side = h
         first = not locked and not out["offsets"] and out["table"] is None
         locked = True
-        if layer == 3 and protected:
+        covered = side if layer == 3 else _allocation(data[at + 3]) if layer == 1 else None
+        if protected and covered is not None:
             stored = int.from_bytes(data[at + 4:at + 6], "big")
-            out["crc_ok" if crc16(data[at + 2:at + 4] + data[at + 6:at + 6 + side]) == stored else "crc_bad"] += 1
+            out["crc_ok" if crc16(data[at + 2:at + 4] + data[at + 6:at + 6 + covered]) == stored else "crc_bad"] += 1
         if first and layer == 3 and (table := _table(data[at:at + length], side, protected)):
             out["table"] = table
         else:
@@ -184,10 +200,13 @@ def store(payload: bytes) -> bytes:
     if rest:
         index = next(i for i, room in enumerate(_ROOM) if room >= rest)
         frames.append((_prefix(index + 1) + payload[full * most:]).ljust(3 * KBITS[(1, 3)][index], b"\0"))
+    frames.append(_prefix(5).ljust(192, b"\0"))  # trailing tags are sought in the last 128 bytes
     body = b"".join(frames)
-    total = len(body) or 1
-    ends = [960 * k for k in range(len(frames))]
-    toc = bytes(min(255, ends[len(frames) * p // 100] * 256 // total) if frames else 0 for p in range(100))
+    total = len(body)
+    begins = [0]
+    for f in frames:
+        begins.append(begins[-1] + len(f))
+    toc = bytes(min(255, begins[len(frames) * p // 100] * 256 // total) for p in range(100))
     table = _prefix(5) + b"Xing" + struct.pack(">III", 7, len(frames), len(body)) + toc
     private = OWNER + struct.pack(">Q", len(payload))
     inner = b"PRIV" + struct.pack(">IH", len(private), 0) + private
@@ -215,7 +234,6 @@ PARSED = (
     "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, frames long, rate int, "
     "samples long, duration double, table string, crc_ok long, crc_bad long, skipped long, mean_kbits double, seek array<long>"
 )
-SEEK_EVERY = 32
 BATCH_BYTES = 16 << 20
 
 
@@ -239,7 +257,7 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def described(media: DataFrame) -> DataFrame:
-    """Parses a media column; ``seek`` has the byte offset of every 32nd frame."""
+    """Parses a media column; ``seek`` has the byte offset of every frame."""
     def run(batches):
         for batch in batches:
             out = []
@@ -249,7 +267,7 @@ def described(media: DataFrame) -> DataFrame:
                 raw = payload(m, p)
                 k = len(p["offsets"])
                 out.append((d, n, len(m), hashlib.sha256(m).hexdigest(), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), k, p["rate"], p["samples"],
-                            float(p["duration"]), p["table"][0] if p["table"] else None, p["crc_ok"], p["crc_bad"], p["skipped"], p["kbits"] / k if k else 0.0, p["offsets"][::SEEK_EVERY]))
+                            float(p["duration"]), p["table"][0] if p["table"] else None, p["crc_ok"], p["crc_bad"], p["skipped"], p["kbits"] / k if k else 0.0, p["offsets"]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(kinds), kinds)], names=[x.split()[0] for x in PARSED.split(", ")])
 

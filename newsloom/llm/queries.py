@@ -46,7 +46,7 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     feature = F.concat_ws(
         ";", F.concat(F.lit("frames="), "frames"), F.concat(F.lit("rate="), "rate"), F.concat(F.lit("samples="), "samples"), F.concat(F.lit("table="), "table"),
         F.concat(F.lit("crc_ok="), "crc_ok"), F.concat(F.lit("crc_bad="), "crc_bad"), F.concat(F.lit("skipped="), "skipped"),
-        F.concat(F.lit("kbits="), F.format_number("mean_kbits", 3)), F.concat(F.lit("seek="), F.array_join("seek", ":")),
+        F.concat(F.lit("kbits="), F.format_number("mean_kbits", 3)), F.concat(F.lit("seek_crc="), F.crc32(F.array_join("seek", ":"))),
     )
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "duration")
 
