@@ -28,7 +28,7 @@ _ENTRY = 160
 
 
 class Encoder:
-    def __init__(self, path: str, mode: str = "whole", most_bytes: int = 128 << 20, plain_specials: bool = False):
+    def __init__(self, path: str, mode: str = "whole", most_bytes: int = 80 << 20, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -126,6 +126,20 @@ def shared(path: str, mode: str) -> Encoder:
 def forget() -> None:
     """Gives the worker's memory back when a job encodes no more."""
     shared.cache_clear()
+    trim()
+
+
+def trim() -> None:
+    """Returns freed memory to the system, as workers live on beside an executor's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def public_path(name: str) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch
-from newsloom.llm.encoding import Encoder, forget, public_path, shared
+from newsloom.llm.encoding import Encoder, forget, public_path, shared, trim
 
 WINDOW = 2048
 END_ID = 1
@@ -42,8 +42,9 @@ def encoded(docs: DataFrame, path: str, mode: str, end_id: int = END_ID) -> Data
         end = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
             doc, source, at, n, ids, size = [], [], [], [], [], 0
-            for d, s, t in zip(*(c.to_pylist() for c in batch.columns)):
-                x = encode(t).tobytes() + end
+            for d, s, t in zip(*batch.columns):  # one text at a time as a string
+                d, s = d.as_py(), s.as_py()
+                x = encode(t.as_py()).tobytes() + end
                 k = len(x) // encode.dtype.itemsize
                 doc.append(d), source.append(s), at.append(sent.get(s, 0)), n.append(k), ids.append(x)
                 sent[s] = sent.get(s, 0) + k
@@ -52,6 +53,7 @@ def encoded(docs: DataFrame, path: str, mode: str, end_id: int = END_ID) -> Data
                     yield made(part, doc, source, at, n, ids)
                     doc, source, at, n, ids, size = [], [], [], [], [], 0
             yield made(part, doc, source, at, n, ids)
+        trim()
 
     def made(part, doc, source, at, n, ids):
         return pa.RecordBatch.from_arrays([

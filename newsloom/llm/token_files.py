@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.llm.encoding import forget, public_path, shared
+from newsloom.llm.encoding import forget, public_path, shared, trim
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
@@ -126,8 +126,9 @@ def write(docs: DataFrame, target: str, path: str | None = None, mode: str = "dr
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cell, types)], names=[x.split()[0] for x in SHARDS.split(", ")])
 
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.concatenate([encode(t), end])
+            for d, t in zip(batch.column(0), batch.column(1)):  # one text at a time as a string
+                d = d.as_py()
+                x = np.concatenate([encode(t.as_py()), end])
                 ids.append(x), docs.append(d)
                 count += len(x)
                 if count >= SHARD_TOKENS:
@@ -136,6 +137,7 @@ def write(docs: DataFrame, target: str, path: str | None = None, mode: str = "dr
                     ids, docs, count = [], [], 0
         if docs:
             yield made()
+        trim()
 
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
