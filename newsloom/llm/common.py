@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,8 @@ class Scratch:
         """Writes ``df`` and returns it as read back."""
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        writer = df.write.option("compression", "zstd")
+        # small row groups: a writer holds one in the executor's heap
+        writer = df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
@@ -63,6 +65,18 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Within it, writes hand Python workers so many rows at a time: whole texts are long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list as (node, root), root the least node; isolated nodes have no row.
 

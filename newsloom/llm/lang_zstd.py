@@ -17,29 +17,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
-#: Bounds of the training sample: documents of a language, characters of each, and bytes of its dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 200, 600, 65_536
+#: Bounds of the training sample: documents of a language, and bytes of its dictionary, to which all of them add alike.
+SAMPLE_DOCS, DICT_BYTES = 200, 65_536
 CHUNK = 512
 #: A narrower lead than this rejects a document.
 MIN_MARGIN = 0.005
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
+
+
+def lettered(text: str) -> bool:
+    """Whether there is a letter: a character of Unicode's category L, as in training."""
+    return any(m.group().isalpha() for m in _WORD.finditer(text))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Per language, the dictionary content: a sample of its labelled rows bounded by the parameters above.
 
     Rows without text, letters or label teach nothing. The sample is drawn by a hash of the id, so reruns agree;
-    row_number() under a limit is applied before the shuffle, so no language's rows meet in one task.
+    row_number() under a limit is applied before the shuffle, so no language's rows meet in one task. Every sampled
+    document has the same share of the dictionary and fills it from its beginning.
     """
     pick = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col)).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")
+        F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col)).alias("h"), F.substring(text_col, 1, DICT_BYTES).alias("t")
     )
     first = pick.withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= SAMPLE_DOCS)
-    found: dict[str, list[str]] = {}
-    for r in sorted(first.collect(), key=lambda r: (r["l"], r["n"])):
-        found.setdefault(r["l"], []).append(r["t"])
-    return {k: "\n".join(v).lower().encode("utf-8", "replace")[-DICT_BYTES:] for k, v in found.items()}
+    share = first.withColumn("k", F.count("*").over(W.partitionBy("l"))).select("l", "n", F.substring("t", F.lit(1), F.floor(F.lit(DICT_BYTES) / F.col("k")).cast("int")).alias("t"))
+    found: dict[str, list[bytes]] = {}
+    rows = sorted(share.collect(), key=lambda r: (r["l"], r["n"]))
+    for r in rows:
+        found.setdefault(r["l"], []).append(r["t"].lower().encode("utf-8", "replace"))
+    return {k: b"\n".join(t[:DICT_BYTES // len(v) - 1] for t in v) for k, v in found.items()}
 
 
 class Classifier:
@@ -58,7 +66,7 @@ class Classifier:
             self.coders.append(zstd.ZstdCompressor(dict_data=d, compression_params=params).compress)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not lettered(text):
             return UNKNOWN, 0.0
         raw = text.lower().encode("utf-8", "replace")
         chunks = [raw[i:i + self.chunk] for i in range(0, len(raw), self.chunk)]

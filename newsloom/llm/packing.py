@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Scratch
+from newsloom.llm.common import Scratch, arrow_batches
 from newsloom.llm.encoding import Encoder, forget, public_path, shared, trim
 
 WINDOW = 2048
@@ -118,7 +118,8 @@ def pack(docs: DataFrame, path: str | None = None, mode: str = "leading", window
     """
     path = path or public_path("byte_bpe_50k.json")
     scratch = Scratch(docs.sparkSession)
-    tokens = scratch.cut(encoded(docs, path, mode, end_id))
+    with arrow_batches(docs.sparkSession, 1000):
+        tokens = scratch.cut(encoded(docs, path, mode, end_id))
     scratch.release()
     per = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     totals = per.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()

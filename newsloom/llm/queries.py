@@ -72,7 +72,8 @@ def op10_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(_held_out(), F.lit(False))
     content = lang_zstd.train(docs.where(~held))
-    return lang_zstd.predict(docs.select("doc_id", "text"), content).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return lang_zstd.predict(docs.select("doc_id", "text"), content).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score", ((F.col("lang_pred") != lang_zstd.UNKNOWN) & (F.col("score") >= lang_zstd.MIN_MARGIN)).alias("accepted"))
 
 
 QUERIES = {

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import arrow_batches
 from newsloom.llm.encoding import forget, public_path, shared, trim
 
 END_ID = 1
@@ -139,11 +140,12 @@ def write(docs: DataFrame, target: str, path: str | None = None, mode: str = "dr
             yield made()
         trim()
 
-    (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-        .mapInArrow(run, SHARDS).write.option("compression", "zstd").parquet(target)
-    )
+    with arrow_batches(docs.sparkSession, 1000):
+        (
+            docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+            .repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+            .mapInArrow(run, SHARDS).write.option("compression", "zstd").parquet(target)
+        )
 
 
 def read(spark: SparkSession, source: str) -> DataFrame:
