@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import datetime
+import hashlib
 import os
 import sys
 
@@ -12,7 +13,8 @@ from pyspark.sql import SparkSession
 from newsloom.config import SignalConfig, default_config, provider_queries
 from newsloom.operators import legacy, metrics
 from newsloom.plans import pipeline
-from newsloom.sinks import TableStore, deliver, digest_json, review_csv, write_json, write_markdown
+from newsloom.plans.run_state import remember, stored_state
+from newsloom.sinks import TableStore, digest_json, review_csv, write_json, write_markdown
 
 COMMANDS = ("run", "dry-run", "qa-feeds", "test-provider", "preflight", "queries", "legacy")
 
@@ -33,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--query", action="append", default=[])
         s.add_argument("--company", nargs="*", default=[])
         s.add_argument("--days", type=int, default=30)
+        s.add_argument("--outbox", help="folder that takes the cards to deliver, one text file each; without it nothing is delivered")
     return p
 
 
@@ -44,6 +47,18 @@ def preflight(args, env=os.environ) -> list[str]:
     return missing
 
 
+def file_sender(folder: str):
+    """Delivers a card as a text file named by a digest of its key; the file's path is the delivery's id."""
+    def send(key: str, card: str) -> str:
+        os.makedirs(folder, exist_ok=True)
+        path = os.path.join(folder, hashlib.sha256(key.encode()).hexdigest()[:32] + ".txt")
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(card)
+        return path
+
+    return send
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
     if not argv or argv[0].startswith("--"):
@@ -75,15 +90,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         rows = legacy.relevant(legacy.heuristic(spark.read.json(args.articles), tuple(args.company or ("company",))), 4)
         write_json(rows, f"{args.out}/mentions.json")
     else:
-        out = pipeline.run(spark.read.parquet(args.articles), config, args.as_of, args.regions, pages=spark.read.parquet(args.pages) if args.pages else None)
+        channel, destination = "daily_digest", args.outbox or "local"
+        alerts, events = stored_state(store)
+        out = pipeline.run(spark.read.parquet(args.articles), config, args.as_of, args.regions, alerts=alerts, events=events, channel=channel, destination=destination, pages=spark.read.parquet(args.pages) if args.pages else None)
         for name in ("candidates", "dropped", "summary"):
             write_json(out[name], f"{args.out}/{name}.json")
         digest_json(out["digest"], f"{args.out}/digest.json")
         write_markdown(out["digest"], f"{args.out}/digest_preview", args.as_of)
         review_csv(out["candidates"], out["digest"], f"{args.out}/candidates_review")
-        events = deliver(out["digest"], lambda key, card: "", "daily_digest", "local", args.as_of, dry_run=args.command == "dry-run")
         if args.command == "run":
-            store.append("delivery_events", events)
+            remember(store, out, file_sender(args.outbox) if args.outbox else None, channel, destination, args.as_of)
         print(out["summary"].toPandas().to_string(index=False))
     return 0
 

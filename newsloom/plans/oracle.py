@@ -131,7 +131,7 @@ ev as (
   from ev group by all
 ), al as (
   select 'k' || (o_orderkey % 700)::varchar as digest_key, o_orderkey as seq, (o_orderkey % 11)::int as score, timestamp '2024-01-25' + to_days((o_orderkey % 7)::int) as created_at,
-    case when o_orderkey % 3 > 0 then strftime(date '2024-01-01' + (o_orderkey % 29)::int, '%Y-%m-%d') end as published_at from orders where o_orderkey <= 2800
+    case when o_orderkey % 3 > 0 then strftime(date '2024-01-01' + (o_orderkey % 29)::int, '%Y-%m-%d') end as published_at from orders
 )"""
 FEEDS = """
 fm as (

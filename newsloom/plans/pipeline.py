@@ -21,7 +21,8 @@ def run(raw: DataFrame, config: SignalConfig, as_of: str, regions=None, min_scor
     if dedup:
         articles, wins = similar.deduplicated(articles)
         articles = articles.withColumn("seq", F.col("slot")).drop("slot")
-    candidates, dropped = classify.split(classify.classified(articles, config, regions), min_score)
+    # written once: every result below reads it
+    candidates, dropped = classify.split(similar.checkpointed(classify.classified(articles, config, regions)), min_score)
     accepted, refused = gate.split(gate.decided(candidates))
     placed = digest.assigned(accepted, config, regions)
     lost = placed.where("region_ord is null").select("seq", "url", "title", F.lit("no_assigned_region").alias("reason"), F.create_map(F.lit("competitor"), F.col("competitor")).alias("details"))

@@ -253,14 +253,14 @@ def already_sent_anti(spark, d):
     return S.stored_alerts(spark, d).join(sent, "digest_key", "left_anti").select("digest_key", "seq")
 
 
-@query("recent_history_topk", "with" + O.EVENTS + """, h as (select *, coalesce(published_at::timestamp, created_at) as history_ts from al where seq < 700 and digest_key in (select alert_key from ev where channel = 'chat' and status = 'delivered'))
+@query("recent_history_topk", "with" + O.EVENTS + """, h as (select *, coalesce(published_at::timestamp, created_at) as history_ts from al where digest_key in (select alert_key from ev where channel = 'chat' and status = 'delivered'))
 select digest_key, history_ts from h order by history_ts desc, digest_key desc limit 200""")
 def recent_history_topk(spark, d):
     a = S.stored_alerts(spark, d)
     return state.recent_history(a, S.delivery_events(spark, d), "chat", "team", 200).select("digest_key", "history_ts")
 
 
-@query("deferred_pool", "with" + O.EVENTS + """select digest_key, score, created_at from al where seq < 700 and created_at >= timestamp '2024-01-31' - interval 2 day
+@query("deferred_pool", "with" + O.EVENTS + """select digest_key, score, created_at from al where created_at >= timestamp '2024-01-31' - interval 2 day
   and digest_key in (select alert_key from latest where channel = 'chat' and status = 'deferred') order by score desc, created_at desc, digest_key limit 100""")
 def deferred_pool(spark, d):
     a = S.stored_alerts(spark, d)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from newsloom.config import REGION_LABELS
 from newsloom.functions import render
@@ -55,7 +56,7 @@ class TableStore:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def read(self, name: str, schema: str) -> DataFrame:
+    def read(self, name: str, schema: str | StructType) -> DataFrame:
         if not self.exists(name):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
@@ -63,9 +64,13 @@ class TableStore:
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.root}/{name}")
 
+    def put(self, name: str, rows: DataFrame, batch_id: int) -> None:
+        """Writes a batch's rows in the batch's own place: a second time replaces the first."""
+        rows.drop("batch_id").write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={batch_id}")
+
     def insert_new(self, name: str, rows: DataFrame, *keys: str, order: str = "seq") -> None:
         """Appends rows whose key is new; the first writer wins."""
-        fresh = state.new_rows(rows, self.read(name, rows.schema.simpleString()[7:-1]) if self.exists(name) else rows.limit(0), *keys, order=order)
+        fresh = state.new_rows(rows, self.read(name, rows.schema), *keys, order=order)
         self.append(name, fresh)
 
 

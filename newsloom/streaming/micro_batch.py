@@ -1,7 +1,7 @@
 """The pipeline over a stream of article files: micro-batches with append-only state (survey 2.10, X1 to X10).
 
 Each batch normalises, removes what earlier batches stored (cross-run dedup by URL), classifies, gates and ranks. State lives in
-a TableStore, so a batch that is repeated after a failure finds its own rows already there and adds nothing.
+a TableStore by batch, so a batch that is repeated after a failure replaces its own rows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as X
 from newsloom.operators.normalize import ARTICLE
 from newsloom.plans import pipeline
 from newsloom.sinks import TableStore
@@ -27,19 +28,23 @@ def counts_by_window(stream: DataFrame, event_time: str = "ts", width: str = "1
 
 
 def handler(store: TableStore, run: Callable[[DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: runs the pipeline on the new URLs of a batch and appends its results; a batch without new
-    articles leaves the backlog alone (X9)."""
+    """foreachBatch function: runs the pipeline on the new URLs of a batch and stores its results under the batch's number.
+
+    URLs are compared in canonical form, as they are stored. A batch that is repeated after a failure leaves its own
+    earlier rows out of account and writes them anew in the same place, so it adds nothing. A batch without new articles
+    leaves the backlog alone (X9).
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.join(store.read("articles_raw", "url string").select("url").distinct(), "url", "left_anti") if store.exists("articles_raw") else batch
-        fresh = fresh.persist()
+        known = store.read("articles_raw", "url string, batch_id long").where(F.col("batch_id") != batch_id).select(F.col("url").alias("_known")).distinct()
+        fresh = batch.join(known, X.canonical_url("url") == F.col("_known"), "left_anti").persist()
         try:
             if fresh.isEmpty():
                 return
             out = run(fresh)
             for name in ("candidates", "dropped", "digest"):
                 if name in out:
-                    store.append(name, out[name].withColumn("batch_id", F.lit(batch_id)))
-            store.insert_new("articles_raw", out["articles"].select("seq", "url", "title", "query", "provider"), "url")
+                    store.put(name, out[name], batch_id)
+            store.put("articles_raw", out["articles"].select("seq", "url", "title", "query", "provider").dropDuplicates(["url"]), batch_id)
         finally:
             fresh.unpersist()
 

@@ -46,33 +46,33 @@ def test_gate(spark):
     assert [g.rejection_reason for g in got[-3:]] == ["broad_industry_fluff", "mention_only_story", "off_scope_material"]
 
 
-def _reference_pass(rows):
-    slots, urls = [], {}
-    for r in rows:
-        at = urls.get(r["url"], -1) if r["url"] else -1
-        if at < 0 and r["key"]:
-            at = next((k for k, s in enumerate(slots) if similar.similar(r["key"], s["key"])), -1)
-        if at < 0:
-            if r["url"]:
-                urls[r["url"]] = len(slots)
-            slots.append(dict(r, slot=r["seq"]))
-        elif r["q"] > slots[at]["q"]:
-            for u in (slots[at]["url"], r["url"]):
-                if u:
-                    urls[u] = at
-            slots[at] = dict(r, slot=slots[at]["slot"])
-    return {(s["slot"], s["seq"]) for s in slots}
-
-
-def test_dedup_is_the_sequential_pass(spark):
+def test_dedup_settles_every_article(spark):
     rng = random.Random(3)
     words = "grab opens riders city bolt price promo launch pilot drivers safety taxi".split()
     rows = [{"title": " ".join(rng.choices(words, k=rng.randint(2, 7))), "url": f"https://e.com/{rng.randint(0, 40)}" if rng.random() < 0.8 else "", "provider": rng.choice(["gdelt", "guardian", "regional_rss"]), "snippet": rng.choice(["", "s"])} for _ in range(60)]
     made = articles(spark, *rows)
-    got = {(r.slot, r.seq) for r in similar.deduplicated(made)[0].select("slot", "seq").collect()}
-    keyed = similar.keyed(made).withColumn("q", similar.quality()).orderBy("seq").collect()
-    want = _reference_pass([{"seq": r.seq, "url": r.url, "key": r.title_key, "q": tuple(r.q)} for r in keyed])
-    assert got == want
+    kept = {r.seq: r.slot for r in similar.deduplicated(made)[0].select("slot", "seq").collect()}
+    all_ = {r.seq: r for r in similar.keyed(made).withColumn("q", similar.quality()).collect()}
+    slots = sorted(kept.values())
+    assert len(set(slots)) == len(slots) and all(slot <= seq for seq, slot in kept.items())
+    # prefixes: an article changes nothing, opens its own slot, or takes one over with a higher quality
+    before = {}
+    for n in sorted(all_):
+        now = {r.slot: r.seq for r in similar.deduplicated(made.where(F.col("seq") <= n))[0].select("slot", "seq").collect()} if n % 6 == 5 or n == max(all_) else None
+        if now is None:
+            continue
+        assert set(before) <= set(now)
+        for slot, holder in now.items():
+            if slot in before and before[slot] != holder:
+                assert tuple(all_[holder].q) > tuple(all_[before[slot]].q)
+        before = now
+    assert before == {slot: seq for seq, slot in kept.items()}
+    # whoever holds no slot has its like: an earlier URL of its own, or a title that a holder's title once met
+    opened = [all_[s] for s in slots]
+    for n, r in all_.items():
+        if n not in kept and n not in slots:
+            assert any(r.url and r.url == o.url for o in all_.values() if o.seq < n) or any(similar.similar(r.title_key, o.title_key) for o in all_.values() if o.seq < n)
+    assert opened[0].seq == min(all_)
 
 
 def test_better_source_takes_the_slot(spark):
