@@ -5,8 +5,10 @@ user and assistant. A state emits features of the line: a speaker marker of some
 whether it is blank or follows a blank line, ends as a question, is long, or looks like a list or code. The most likely
 state sequence over the whole transcript gives the turns, which are rendered in canonical form.
 
-Long transcripts come in segments (``segment`` numbers them), decoded exactly and in parallel: each segment is first
-reduced to the matrix of best scores from entry state to exit state, a forward pass over these small matrices
+The chances of the model are constants for chats at large, or counted from labelled turns by ``fit``.
+
+Long transcripts come in segments (``segment`` numbers them), decoded exactly and in parallel; whether a segment follows a
+blank line is carried over from the one before. Each segment is first reduced to the matrix of best scores from entry state to exit state, a forward pass over these small matrices
 carries the scores from segment to segment, a backward pass picks the states at the cuts, and each segment is then
 decoded between its fixed ends. The passes stream over sorted rows with one vector in memory, so no transcript,
 however long, is ever gathered.
@@ -19,6 +21,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch
@@ -35,25 +38,71 @@ _MARKER = re.compile(r"^\s*(?:#{1,6}\s*|<\|?|\[|\*{1,2}|>\s*)?([A-Za-z][A-Za-z0-
 _HEADING = re.compile(r"^\s*#{1,6}\s*([A-Za-z]+)\s*:?\s*$")
 _LIST = re.compile(r"^\s*(?:[-*•]|\d+[.)]|```|    )")
 
-_log = np.log
-_LEAVE = {0: 0.05, 1: 0.25, 2: 0.15}  # chance that a line is followed by a new turn, by role
-_NEXT = np.array([[0.05, 0.85, 0.10], [0.02, 0.08, 0.90], [0.02, 0.90, 0.08]])
-_QUESTION, _LONG, _LISTED = (0.05, 0.35, 0.10), (0.30, 0.15, 0.35), (0.15, 0.05, 0.25)
+_BLANK = " \t\r\f\v"
 
 
-def _transitions() -> np.ndarray:
-    t = np.full((6, 6), -np.inf)
-    for i, (r, _) in enumerate(STATES):
-        for j, (s, begins) in enumerate(STATES):
-            if begins:
-                t[i, j] = _log(_LEAVE[r] * _NEXT[r, s])
-            elif r == s:
-                t[i, j] = _log(1 - _LEAVE[r])
-    return t
+class Model:
+    """Chances by role: of a new turn after a line, of the role that follows, and of a line's features; none is 0 or 1.
 
+    ``marked``: how often a turn begins with a marker of its role; the rest, but for ``other``, has none.
+    """
 
-STEP = _transitions()
-START = np.array([_log(p) if b else -np.inf for (_, b), p in zip(STATES, np.repeat((0.3, 0.6, 0.1), 2))])
+    def __init__(self, leave=(0.05, 0.25, 0.15), following=((0.05, 0.85, 0.10), (0.02, 0.08, 0.90), (0.02, 0.90, 0.08)), first=(0.3, 0.6, 0.1),
+                 question=(0.05, 0.35, 0.10), long=(0.30, 0.15, 0.35), listed=(0.15, 0.05, 0.25), marked=(0.70, 0.70, 0.70), other=0.08, after_blank=0.6):
+        self.question, self.long, self.listed, self.marked, self.other, self.after_blank = question, long, listed, marked, other, after_blank
+        self.step = np.full((6, 6), -np.inf)
+        for i, (r, _) in enumerate(STATES):
+            for j, (s, begins) in enumerate(STATES):
+                if begins:
+                    self.step[i, j] = np.log(leave[r] * following[r][s])
+                elif r == s:
+                    self.step[i, j] = np.log(1 - leave[r])
+        self.start = np.array([np.log(p) if b else -np.inf for (_, b), p in zip(STATES, np.repeat(first, 2))])
+
+    def emissions(self, lines: list[str], after_blank: bool = False) -> np.ndarray:
+        """Log-likelihood of each line in each state."""
+        out = np.zeros((len(lines), 6))
+        for n, line in enumerate(lines):
+            role, _ = marker(line)
+            blank = not line.strip(_BLANK)
+            features = (line.rstrip().endswith("?"), len(line) > 240, bool(_LIST.match(line)))
+            for k, (r, begins) in enumerate(STATES):
+                if begins:
+                    own = self.marked[r]
+                    p = own if role == ROLES[r] else 1 - own - self.other if role is None else self.other / 2
+                else:
+                    p = 0.97 if role is None else 0.01
+                p *= (0.01 if begins else 0.3) if blank else (0.99 if begins else 0.7)
+                p *= (self.after_blank if begins else 0.06) if after_blank else (1 - self.after_blank if begins else 0.94)
+                if not blank:
+                    for has, q in zip(features, (self.question[r], self.long[r], self.listed[r])):
+                        p *= q if has else 1 - q
+                out[n, k] = np.log(p)
+            after_blank = blank
+        return out
+
+    def transfer(self, e: np.ndarray) -> np.ndarray:
+        """Best score from each state before the first line to each state of the last line."""
+        m = self.step + e[0]
+        for row in e[1:]:
+            m = (m[:, :, None] + self.step[None]).max(1) + row
+        return m
+
+    def decode(self, e: np.ndarray, entry: int | None, last: int | None) -> list[int]:
+        """Viterbi path, from a fixed state before the first line (None: the start) to a fixed last state (None: the best)."""
+        score = (self.start if entry is None else self.step[entry]) + e[0]
+        back = []
+        for row in e[1:]:
+            via = score[:, None] + self.step
+            back.append(via.argmax(0))
+            score = via.max(0) + row
+        path = [int(score.argmax()) if last is None else last]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        return path[::-1]
+
+
+MODEL = Model()
 
 
 def marker(line: str) -> tuple[str | None, int]:
@@ -65,47 +114,6 @@ def marker(line: str) -> tuple[str | None, int]:
     return (role, m.end()) if role else ("other", 0) if m.group(1).strip().istitle() else (None, 0)
 
 
-def emissions(lines: list[str], after_blank: bool = False) -> np.ndarray:
-    """Log-likelihood of each line in each state."""
-    out = np.zeros((len(lines), 6))
-    for n, line in enumerate(lines):
-        role, _ = marker(line)
-        blank = not line.strip()
-        question, long, listed = line.rstrip().endswith("?"), len(line) > 240, bool(_LIST.match(line))
-        for k, (r, begins) in enumerate(STATES):
-            p = (0.70 if role == ROLES[r] else 0.22 if role is None else 0.04) if begins else (0.97 if role is None else 0.01)
-            p *= (0.01 if begins else 0.3) if blank else (0.99 if begins else 0.7)
-            p *= (0.6 if begins else 0.06) if after_blank else (0.4 if begins else 0.94)
-            if not blank:
-                for has, q in ((question, _QUESTION[r]), (long, _LONG[r]), (listed, _LISTED[r])):
-                    p *= q if has else 1 - q
-            out[n, k] = _log(p)
-        after_blank = blank
-    return out
-
-
-def transfer(e: np.ndarray) -> np.ndarray:
-    """Best score from each state before the first line to each state of the last line."""
-    m = STEP + e[0]
-    for row in e[1:]:
-        m = (m[:, :, None] + STEP[None]).max(1) + row
-    return m
-
-
-def decode(e: np.ndarray, entry: int | None, last: int | None) -> list[int]:
-    """Viterbi path, from a fixed state before the first line (None: the start) to a fixed last state (None: the best)."""
-    score = (START if entry is None else STEP[entry]) + e[0]
-    back = []
-    for row in e[1:]:
-        via = score[:, None] + STEP
-        back.append(via.argmax(0))
-        score = via.max(0) + row
-    path = [int(score.argmax()) if last is None else last]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return path[::-1]
-
-
 def turns(lines: list[str], path: list[int]) -> list[tuple[str, bool, str]]:
     """(role, whether it continues a turn from before, text without marker) for each run of a turn."""
     out: list[list] = []
@@ -156,7 +164,41 @@ def _backward(batches):
         yield pd.DataFrame({"conv_id": pdf.conv_id, "segment": pdf.segment, "entry": entry, "last": last})
 
 
-def parsed(transcripts: DataFrame) -> DataFrame:
+def fit(labelled: DataFrame) -> Model:
+    """The model counted from stored turns (conv_id, turn, role, text), with one added to every count.
+
+    Rows of unknown roles and null texts teach nothing; turns without any give the constants. Only sums by role reach the driver.
+    """
+    known = labelled.where(F.col("role").isin(*ROLES) & F.col("text").isNotNull())
+    line = F.explode(F.split("text", "\n")).alias("line")
+    lines = known.select("conv_id", "turn", "role", line).groupBy("role").agg(
+        F.count("*").alias("lines"), F.sum((F.trim("line") != "").cast("long")).alias("full"),
+        F.sum(F.rtrim("line").endswith("?").cast("long")).alias("question"), F.sum((F.char_length("line") > 240).cast("long")).alias("long"),
+        F.sum(F.col("line").rlike(r"^\s*(?:[-*\u2022]|\d+[.)]|```|    )").cast("long")).alias("listed"))
+    lines = {r["role"]: r for r in lines.collect()}
+    if not lines:
+        return Model()
+    # the turn before, in order of the numbers: a join, as a conversation may hold any number of turns
+    after = known.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
+    pairs = known.select("conv_id", "turn", "role").join(after, ["conv_id", "turn"], "left").groupBy("role", "next").count().collect()
+    lead = known.where("turn = 0").groupBy("role").count().collect()
+    turns_ = {r: sum(x["count"] for x in pairs if x["role"] == r) for r in ROLES}
+
+    def share(part, whole):
+        return (part + 1) / (whole + 2)
+
+    def seen(role, what):
+        return lines[role][what] if role in lines else 0
+
+    following = [[1 + sum(x["count"] for x in pairs if x["role"] == r and x["next"] == s) for s in ROLES] for r in ROLES]
+    first = [1 + sum(x["count"] for x in lead if x["role"] == r) for r in ROLES]
+    return Model(
+        leave=[share(turns_[r], seen(r, "lines")) if seen(r, "lines") > turns_[r] else 0.9 for r in ROLES],
+        following=[[n / sum(row) for n in row] for row in following], first=[n / sum(first) for n in first],
+        **{k: [share(seen(r, k), seen(r, "full")) for r in ROLES] for k in ("question", "long", "listed")})
+
+
+def parsed(transcripts: DataFrame, model: Model = MODEL) -> DataFrame:
     """(conv_id, segment, turn, role, continues, text, rendered), one row per turn of a segment.
 
     ``transcripts`` has conv_id, segment (long, the order of a transcript's segments) and text. A null text
@@ -173,23 +215,25 @@ def parsed(transcripts: DataFrame) -> DataFrame:
 
     def reduced(batches):
         for pdf in batches:
-            first = [s == f for s, f in zip(pdf.segment, pdf["start"])]
             m = []
-            for t, f in zip(pdf.text, first):
-                e = emissions(t.split("\n"))
+            for t, f, after in zip(pdf.text, pdf["first"], pdf.after):
+                e = model.emissions(t.split("\n"), bool(after))
                 if f:
-                    e[0] += START
-                    x = e[0]
+                    x = e[0] + model.start
                     for row in e[1:]:
-                        x = (x[:, None] + STEP).max(0) + row
+                        x = (x[:, None] + model.step).max(0) + row
                     m.append(np.tile(x, 6).tolist())
                 else:
-                    m.append(transfer(e).ravel().tolist())
-            yield pd.DataFrame({"conv_id": pdf.conv_id, "segment": pdf.segment, "first": first, "m": m})
-
-    start = rows.groupBy("conv_id").agg(F.min("segment").alias("start"))
-    begun = rows.join(start, "conv_id")
-    mats = begun.select("conv_id", "segment", "start", "text").mapInPandas(reduced, "conv_id string, segment string, first boolean, m array<double>")
+                    m.append(model.transfer(e).ravel().tolist())
+            yield pd.DataFrame({"conv_id": pdf.conv_id, "segment": pdf.segment, "first": pdf["first"], "m": m})
+
+    # of each segment, whether it is the first and whether the one before ends in a blank line
+    order = W.partitionBy("conv_id").orderBy("segment")
+    ends_blank = F.col("text").rlike(r"(^|\n)[ \t\r\f\x0B]*\z")
+    marks = rows.select("conv_id", "segment", ends_blank.alias("blank")).select(
+        "conv_id", "segment", F.lag("blank").over(order).isNull().alias("first"), F.coalesce(F.lag("blank").over(order), F.lit(False)).alias("after"))
+    begun = scratch.cut(rows.join(marks, ["conv_id", "segment"]))
+    mats = begun.select("conv_id", "segment", "first", "after", "text").mapInPandas(reduced, "conv_id string, segment string, first boolean, m array<double>")
     kind = "conv_id string, segment string, first boolean, m array<double>, alpha array<double>"
     mats = mats.repartition("conv_id").sortWithinPartitions("conv_id", "segment").mapInPandas(_forward, kind)
     mats = scratch.cut(mats)
@@ -199,15 +243,15 @@ def parsed(transcripts: DataFrame) -> DataFrame:
     def spoken(batches):
         for pdf in batches:
             out = []
-            for own, number, text, entry, last in zip(pdf.own, pdf.number, pdf.text, pdf.entry, pdf["last"]):
+            for own, number, text, after, entry, last in zip(pdf.own, pdf.number, pdf.text, pdf.after, pdf.entry, pdf["last"]):
                 lines = text.split("\n")
-                path = decode(emissions(lines), None if entry < 0 else entry, last)
+                path = model.decode(model.emissions(lines, bool(after)), None if entry < 0 else entry, last)
                 for n, (role, more, said) in enumerate(turns(lines, path)):
                     if said:
                         out.append((None if pd.isna(own) else int(own), number, n, role, more, said, render(role, said)))
             yield pd.DataFrame(out, columns=["conv_id", "segment", "turn", "role", "continues", "text", "rendered"]).astype({"conv_id": "Int64", "segment": "Int64", "turn": "int32"})
 
-    both = rows.join(ends, ["conv_id", "segment"]).select("own", "number", "text", "entry", "last")
+    both = begun.join(ends, ["conv_id", "segment"]).select("own", "number", "text", "after", "entry", "last")
     return both.mapInPandas(spoken, "conv_id long, segment long, turn int, role string, continues boolean, text string, rendered string")
 
 

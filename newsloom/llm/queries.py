@@ -37,7 +37,10 @@ def op4_pack_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chat_format.parsed(chat_format.transcripts(table(spark, sf_dir, "conversations")))
+    turns = table(spark, sf_dir, "conversations")
+    # the model learns from four conversations in five
+    model = chat_format.fit(turns.where(F.pmod(F.xxhash64("conv_id"), F.lit(5)) != 0))
+    found = chat_format.parsed(chat_format.transcripts(turns), model)
     return found.select("conv_id", "segment", "turn", "role", "continues", "rendered")
 
 

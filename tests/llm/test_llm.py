@@ -300,12 +300,13 @@ def test_chat_segments_equal_whole(spark):
     rng = random.Random(8)
     for _ in range(20):
         lines = [rng.choice(["User: hi", "Assistant: yes", "System: be kind", "plain words", "", "is it?", "- item", "Bob: hello"]) for _ in range(rng.randint(1, 40))]
-        e = chat_format.emissions(lines)
-        score = chat_format.START + e[0]
+        m = chat_format.MODEL
+        e = m.emissions(lines)
+        score = m.start + e[0]
         for row in e[1:]:
-            score = (score[:, None] + chat_format.STEP).max(0) + row
-        path = chat_format.decode(e, None, None)
-        got = chat_format.START[path[0]] + e[0][path[0]] + sum(chat_format.STEP[a, b] + e[k + 1][b] for k, (a, b) in enumerate(zip(path, path[1:])))
+            score = (score[:, None] + m.step).max(0) + row
+        path = m.decode(e, None, None)
+        got = m.start[path[0]] + e[0][path[0]] + sum(m.step[a, b] + e[k + 1][b] for k, (a, b) in enumerate(zip(path, path[1:])))
         assert abs(got - score.max()) < 1e-9
     text = [f"{m}: line {n}" for n in range(6) for m in ("User", "Assistant")]
     whole = spark.createDataFrame([(1, 0, "\n".join(text))], "conv_id long, segment long, text string")
@@ -314,6 +315,73 @@ def test_chat_segments_equal_whole(spark):
     assert a == b and a[0] == ("user", "line 0") and a[1] == ("assistant", "line 0")
 
 
+def test_chat_cuts_after_blank_lines_change_nothing(spark):
+    rng = random.Random(21)
+    whole, cut = [], []
+    for n in range(30):
+        lines = [rng.choice(["User: hi", "Assistant: yes", "plain words", "", "", "is it?", "- item", "and so on"]) for _ in range(24)]
+        whole.append((n, 0, "\n".join(lines)))
+        at = sorted(rng.sample(range(1, 24), 4))
+        cut += [(n, k, "\n".join(lines[a:b])) for k, (a, b) in enumerate(zip([0, *at], [*at, 24]))]
+    schema = "conv_id long, segment long, text string"
+
+    def said(rows):
+        out = {}
+        for r in chat_format.parsed(spark.createDataFrame(rows, schema)).orderBy("conv_id", "segment", "turn").collect():
+            turns_ = out.setdefault(r.conv_id, [])
+            if r.continues and turns_:
+                turns_[-1] = (turns_[-1][0], turns_[-1][1] + r.text.replace("\n", ""))
+            else:
+                turns_.append((r.role, r.text.replace("\n", "")))
+        return {k: [(r, t.replace(" ", "")) for r, t in v] for k, v in out.items()}
+
+    assert said(whole) == said(cut)
+
+
+def test_chat_roles_of_held_out_conversations(spark):
+    turns_ = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    held = F.pmod(F.xxhash64("conv_id"), F.lit(5)) == 0
+    model = chat_format.fit(turns_.where(~held))
+    got = {}
+    for r in chat_format.parsed(chat_format.transcripts(turns_.where(held)), model).orderBy("conv_id", "segment", "turn").collect():
+        if not r.continues:
+            got.setdefault(r.conv_id, []).append(r.role)
+    want = {}
+    for r in turns_.where(held).orderBy("conv_id", "turn").collect():
+        want.setdefault(r.conv_id, []).append(r.role)
+    whole = sum(got.get(k) == v for k, v in want.items()) / len(want)
+    print("whole role sequences", whole, "turns", sum(map(len, got.values())), "of", sum(map(len, want.values())))
+    assert whole >= 0.75
+
+
+def test_no_payload_reaches_the_tag_search():
+    for mark in (b"TAG", b"APETAGEX", b"ID3\3\0\0\0\0\0\x7f", b"\xff\xfb\x90\x64", b"Xing", b"VBRI"):
+        for n in (*range(1, 400, 7), 936, 937, 1000, 2999):
+            for at in {0, max(0, n - 3), max(0, n - 128), max(0, n - 32), n // 2}:
+                raw = (b"x" * at + mark * 9)[:n].ljust(n, b"y")
+                raw += b" " * (-len(raw) % 192)
+                data = mpeg_audio.store(raw)
+                p = mpeg_audio.parse(data)
+                assert mpeg_audio.payload(data, p) == raw and p["skipped"] == 0 and set(p["tags"]) == {"PRIV"}
+
+
+def test_embeddings_with_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [1.0, 0.02]), (None, [-1.0, 0.0]), (5, [0.0, -1.0]), (5, [0.0, -1.0])]
+    got = sorted(embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect(), key=str)
+    want = [(1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (None, 2, 1, False), (None, 0, None, True), (5, 1, 5, True), (5, 1, 5, True)]
+    assert [tuple(r) for r in got] == [tuple(r) for r in sorted(spark.createDataFrame(want, "vec_id long, n_links long, component_id long, kept boolean").collect(), key=str)]
+
+
+def test_language_of_held_out_documents(spark):
+    from newsloom.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    lang = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
+    got = queries.op10_language_zstd(spark, d).join(lang, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got) and all(r.lang == r.lang_pred for r in got if r.accepted)
+    assert not lang_zstd.lettered("½ ² ① 12") and lang_zstd.lettered("1 a")
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
