@@ -28,7 +28,7 @@ _ENTRY = 160
 
 
 class Encoder:
-    def __init__(self, path: str, mode: str = "whole", most_bytes: int = 80 << 20, plain_specials: bool = False):
+    def __init__(self, path: str, mode: str = "whole", most_bytes: int = 48 << 20, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -130,12 +130,13 @@ def forget() -> None:
 
 
 def trim() -> None:
-    """Returns freed memory to the system, as workers live on beside an executor's heap."""
+    """Returns freed memory to the system, as workers live on beside an executor's heap, and has Arrow's do so at once."""
     import ctypes
 
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library

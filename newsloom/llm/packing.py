@@ -28,7 +28,7 @@ from newsloom.llm.encoding import Encoder, forget, public_path, shared, trim
 
 WINDOW = 2048
 END_ID = 1
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 TOKENS = "part int, source string, at long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -37,6 +37,7 @@ def encoded(docs: DataFrame, path: str, mode: str, end_id: int = END_ID) -> Data
     """Token ids of each row, with the partition and the tokens of its source before it there."""
 
     def run(batches):
+        trim()
         encode = shared(path, mode)
         part, sent = TaskContext.get().partitionId(), {}
         end = np.array([end_id], encode.dtype).tobytes()
@@ -153,5 +154,8 @@ def pack(docs: DataFrame, path: str | None = None, mode: str = "leading", window
                     pa.array(cut, pa.binary()),
                 ], names=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
                 upto = stop
+                del wide, cut
+            del batch, doc, source, ids
+            trim()
 
     return rows.mapInArrow(run, PIECES)

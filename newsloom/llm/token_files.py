@@ -112,6 +112,7 @@ def write(docs: DataFrame, target: str, path: str | None = None, mode: str = "dr
     path = path or public_path("word_bpe_49k.json")
 
     def run(batches):
+        trim()
         encode = shared(path, mode)
         base, part, shard = max(encode.vocab, end_id + 1), TaskContext.get().partitionId(), 0
         end = np.array([end_id], encode.dtype)
