@@ -58,7 +58,7 @@ def test_dedup_settles_every_article(spark):
     # prefixes: an article changes nothing, opens its own slot, or takes one over with a higher quality
     before = {}
     for n in sorted(all_):
-        now = {r.slot: r.seq for r in similar.deduplicated(made.where(F.col("seq") <= n))[0].select("slot", "seq").collect()} if n % 6 == 5 or n == max(all_) else None
+        now = {r.slot: r.seq for r in similar.deduplicated(made.where(F.col("seq") <= n))[0].select("slot", "seq").collect()} if n % 20 == 19 else None
         if now is None:
             continue
         assert set(before) <= set(now)
