@@ -28,7 +28,9 @@ def op3_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.filter("findings", lambda x: x.kind != "truncated")
     base = F.filter("findings", lambda x: (x.kind != "truncated") & (x.path == ""))
     count = [F.size(F.filter(F.transform("base", lambda x: x.kind), F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
-    return docs.select("doc_id", base.alias("base"), spans.alias("all")).select("doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
+    cut = F.size(F.filter("findings", lambda x: x.kind == "truncated")).cast("long")
+    return docs.select("doc_id", base.alias("base"), spans.alias("all"), cut.alias("n_truncated")).select(
+        "doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), "n_truncated")
 
 
 def op4_pack_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:

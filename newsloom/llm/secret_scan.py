@@ -6,6 +6,9 @@ layer: percent escapes, Unicode escapes, base64 runs (over line breaks too), and
 (compression quines, for one); otherwise the list runs until nothing new comes out. Every layer knows for each of its
 characters the span of the original text it came from, so findings at any depth point into the original.
 
+Chains of escaped escapes (``%252525..``, ``\\u005cu005c..``) are peeled in one step: the layers between differ in their marks
+alone, which no pattern contains. Bytes that are not UTF-8 are read as UTF-16 or Latin-1 where something is found in them.
+
 Decompression of one layer stops at ``MAX_LAYER`` bytes, a guard against bombs; the finding list says so by a row of
 kind ``truncated``, as for streams that do not reach their end. Nothing else is bounded: texts of any length are scanned whole.
 """
@@ -35,6 +38,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
+#: An escaped mark whose escape is escaped again, and so on.
+_CHAINS = ((re.compile(r"%(?:25){2,}(?=[0-9A-Fa-f]{2})"), "url", "%"), (re.compile(r"\\(?:u005[cC]){2,}(?=u[0-9A-Fa-f]{4})"), "unicode", "\\"),
+           (re.compile(r"\\(?:x5[cC]){2,}(?=x[0-9A-Fa-f]{2})"), "unicode", "\\"))
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_BASE64)
 #: A block of base64 lines: the first of some length, the rest with nothing but indentation beside them, the last with anything after it.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}" % LEAST_BASE64)
@@ -84,15 +90,28 @@ def matches(text: str):
 
 
 def _characters(raw: bytes) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """A UTF-8 text with the first and last byte (exclusive) of each character, if it is text at all."""
+    """A text with the first and last byte (exclusive) of each character.
+
+    Printable UTF-8 is text. Other bytes are read as UTF-16, if every other one tends to be zero, or as Latin-1, and are
+    text if a secret or a further layer is found in them.
+    """
     try:
         text = raw.decode("utf-8")
+        if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text):
+            at = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+            return text, at, np.r_[at[1:], len(raw)]
     except UnicodeDecodeError:
+        pass
+    zeros = [raw[k::2].count(0) * 4 > len(raw) for k in (0, 1)]
+    if any(zeros):
+        text = raw[:len(raw) & ~1].decode("utf-16-be" if zeros[0] else "utf-16-le", "replace")
+        width = np.array([4 if ord(c) > 0xFFFF else 2 for c in text], np.int64)
+    else:
+        text, width = raw.decode("latin-1"), np.ones(len(raw), np.int64)
+    if not text or next(matches(text), None) is None and not (_PERCENT.search(text) or _BASE64.search(text)):
         return None
-    if not text or sum(c.isprintable() or c in "\t\r\n" for c in text) < 0.9 * len(text):
-        return None
-    at = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-    return text, at, np.r_[at[1:], len(raw)]
+    end = np.minimum(np.cumsum(width), len(raw))
+    return text, end - width, end
 
 
 def _replaced(layer: Layer, step: str, pieces: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer | None:
@@ -111,6 +130,14 @@ def _replaced(layer: Layer, step: str, pieces: list[tuple[int, int, str, list[tu
     return Layer("".join(out), f"{layer.path}>{step}".lstrip(">"), np.concatenate(b), np.concatenate(e), np.concatenate(f))
 
 
+def _peeled(layer: Layer) -> Layer | None:
+    """The layer below all chains of escaped marks."""
+    for chain, step, mark in _CHAINS:
+        if made := _replaced(layer, step, [(m.start(), m.end(), mark, [m.span()]) for m in chain.finditer(layer.text)]):
+            return made
+    return None
+
+
 def _percent(layer: Layer) -> Layer | None:
     pieces = []
     for m in _PERCENT.finditer(layer.text):
@@ -305,7 +332,8 @@ def findings(text: str | None) -> list[tuple[str, int, int, str]]:
             for k, a, b in matches(layer.text):
                 if layer.fresh is None or layer.fresh[a:b].any():
                     found.setdefault((k, *layer.span(a, b)), layer.path)
-        inner = [x for x in (_percent(layer), _unicode(layer)) if x]
+        peeled = _peeled(layer)
+        inner = [peeled] if peeled else [x for x in (_percent(layer), _unicode(layer)) if x]
         for x in (*inner, *_base64(layer, cut), *_escaped(layer, cut)):
             if (known := x.key()) not in seen:
                 seen.add(known)

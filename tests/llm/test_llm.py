@@ -212,6 +212,20 @@ def test_secret_layers():
     assert [p for *_, p in secret_scan.findings(twice)] == ["url>url"]
 
 
+def test_secret_chains_and_other_encodings():
+    import time
+
+    began = time.time()
+    deep = secret_scan.findings("%" + "25" * 500_000 + "70assword=hunter22")
+    assert ("assign", 0) in [(k, a) for k, a, _, _ in deep]
+    assert ("assign", 0) in [(k, a) for k, a, _, _ in secret_scan.findings("%" + "25" * 5000 + "70assword=hunter22")]
+    assert ("assign", 0) in [(k, a) for k, a, _, _ in secret_scan.findings("\\" + "u005c" * 5000 + "u0070assword=hunter22")]
+    assert time.time() - began < 20
+    for code in ("utf-16-le", "utf-16-be", "latin-1"):
+        data = base64.b64encode("caf\u00e9 na\u00efve r\u00e9sum\u00e9 secret=abcdefghij \u00e9\u00e8\u00e7".encode(code)).decode()
+        assert [(k, p) for k, _, _, p in secret_scan.findings(f"aa {data} zz")] == [("assign", "base64")], code
+
+
 def test_secret_base_against_plain_regex(spark):
     rng = random.Random(9)
     bits = ["password", "=", ":", " ", '"', "abc123", "AKIA", "ABCD1234EFGH5678", "deadbeef" * 3, "Token", "api_key", "é", "\n", "%41"]
