@@ -125,7 +125,10 @@ def shared(path: str, mode: str) -> Encoder:
 
 def forget() -> None:
     """Gives the worker's memory back when a job encodes no more."""
+    import gc
+
     shared.cache_clear()
+    gc.collect()  # an encoder holds its own method and so itself
     trim()
 
 
