@@ -125,10 +125,7 @@ def highlights(rows: DataFrame, n: int = 5) -> DataFrame:
 def build(candidates: DataFrame, config: SignalConfig, regions, history: DataFrame | None = None, sent: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """The regional digests: filter, promote, rank, suppress, limit - in this order (suppression before the limit)."""
     chosen = config.selected(regions)
-    rows = None
-    for r in chosen:  # each region's filter knows only its own vocabulary
-        part = gate.marketing(candidates.where(F.col("region") == r), config, (r,))
-        rows = part if rows is None else rows.unionByName(part)
+    rows = gate.marketing(candidates, config, tuple(chosen), own_region=True)
     rows = ranked(resolved(alerts(rows)) if "resolved_date" not in rows.columns else alerts(rows), "rank_in")
     if sent is not None:
         rows = rows.join(sent.select("digest_key").distinct(), "digest_key", "left_anti")

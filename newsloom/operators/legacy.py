@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
+from newsloom.operators.similar import checkpointed
 
 # Fixed values.
 SERVICE = ("taxi", "ride-hailing", "ride hailing", "rideshare", "ride-share", "driver", "passenger", "fare", "delivery", "courier", "freight", "city to city", "такси", "водитель", "пассажир", "доставка", "курьер", "груз")
@@ -91,9 +92,14 @@ def ordered(rows: DataFrame) -> DataFrame:
 
 
 def renumbered(rows: DataFrame, descending: bool = False) -> DataFrame:
-    """Numbers 1 to n by date and title."""
+    """Numbers 1 to n by date and title (W8): rows are dealt by ranges of the order and numbered within them, after all rows of the ranges before."""
     keys = [F.coalesce("published_at", F.lit("")), F.lower("title"), F.col("seq")]
-    return rows.withColumn("number", F.row_number().over(W.orderBy(*[k.desc() if descending else k.asc() for k in keys])))
+    order = [k.desc() if descending else k.asc() for k in keys]
+    ranged = checkpointed(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_place", place).join(before, "_range").withColumn("number", F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
 
 
 def domain(url) -> Column:

@@ -174,9 +174,7 @@ select seq, region from mk where case when country_hint is not null then case re
 
 @query("marketing_filter", _marketing)
 def marketing_filter(spark, d):
-    rows = _accepted(spark, d)
-    both = [gate.marketing(rows.where(F.col("region") == r), CFG, (r,)) for r in CFG.regions]
-    return both[0].unionByName(both[1]).select("seq", "region")
+    return gate.marketing(_accepted(spark, d), CFG, tuple(CFG.regions), own_region=True).select("seq", "region")
 
 
 # J7, P30

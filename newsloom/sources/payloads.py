@@ -149,8 +149,9 @@ def budgeted(requests: DataFrame, limits: dict[str, int]) -> DataFrame:
 
 def cooled(requests: DataFrame) -> DataFrame:
     """Adds skipped: requests of a run after the first that was told to slow down (S16); requests has provider, seq, http_status."""
-    before = W.partitionBy("provider").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    return requests.withColumn("skipped", F.coalesce(F.max(F.coalesce((F.col("http_status") == 429).cast("int"), F.lit(0))).over(before) == 1, F.lit(False)))
+    slowed = requests.where("http_status = 429").groupBy(F.col("provider").alias("_provider")).agg(F.min("seq").alias("_slowed"))
+    joined = requests.join(slowed, F.col("provider").eqNullSafe(F.col("_provider")), "left")
+    return joined.withColumn("skipped", F.coalesce(F.col("seq") > F.col("_slowed"), F.lit(False))).drop("_provider", "_slowed")
 
 
 def cache_split(queries: DataFrame, cache: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
