@@ -7,6 +7,7 @@ Arrow batches. ``body_regex`` is the approximation that stays in the JVM.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,56 +22,65 @@ MIN_PARAGRAPH, MIN_PAGE, MAX_CHARS = 40, 80, 8000
 
 
 class _Text(HTMLParser):
-    """Text of paragraphs and list items by enclosing block, and of the whole page."""
+    """Text of paragraphs and list items by enclosing block, and of the whole page.
+
+    A paragraph is a stretch of the page's pieces of text, so one that is left open costs nothing for what follows in it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
-        self.blocks = {b: [] for b in ("article", "main", "body")}
-        self.paragraphs: list[tuple[int, list[str], tuple[str, ...]]] = []
-        self.done: list[tuple[str, tuple[str, ...]]] = []
+        self.count: Counter[str] = Counter()
+        self.blocks = ("article", "main", "body")
+        self.paragraphs: list[tuple[int, int]] = []  # of the open ones: depth and number
+        self.done: list[tuple[int, int | None, tuple[str, ...]]] = []  # first piece, end, enclosing blocks
         self.all: list[str] = []
-        self.seen_article = self.seen_main = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
             return
         self.open.append(tag)
+        self.count[tag] += 1
         if tag in ("p", "li"):
-            slot = len(self.done)
-            self.done.append(("", tuple(b for b in self.blocks if b in self.open)))
-            self.paragraphs.append((len(self.open), [], slot))
+            self.paragraphs.append((len(self.open), len(self.done)))
+            self.done.append((len(self.all), None, tuple(b for b in self.blocks if self.count[b])))
 
     def handle_endtag(self, tag):
-        if tag not in self.open:
-            return
-        while self.open:
+        while self.count[tag]:
             top = self.open.pop()
+            self.count[top] -= 1
             while self.paragraphs and self.paragraphs[-1][0] > len(self.open):
-                self._close()
+                _, n = self.paragraphs.pop()
+                self.done[n] = (self.done[n][0], len(self.all), self.done[n][2])
             if top == tag:
                 return
 
-    def _close(self):
-        _, parts, slot = self.paragraphs.pop()
-        self.done[slot] = (" ".join(" ".join(parts).split()), self.done[slot][1])
-
     def handle_data(self, data):
-        if any(s in self.open for s in SKIPPED):
-            return
-        self.all.append(data.strip())
-        for _, parts, _ in self.paragraphs:
-            parts.append(data.strip())
-
-    def text(self) -> str:
-        while self.paragraphs:
-            self._close()
+        if not any(self.count[s] for s in SKIPPED):
+            self.all.append(data.strip())
+
+    def said(self, start: int, end: int | None, most: int) -> str:
+        """The words of some pieces, as far as ``most`` characters reach."""
+        words, size = [], 0
+        for k in range(start, len(self.all) if end is None else end):
+            for w in self.all[k].split():
+                words.append(w)
+                size += len(w) + 1
+            if size > most:
+                break
+        return " ".join(words)
+
+    def text(self, most: int) -> str:
         for block in self.blocks:
-            long = [t for t, inside in self.done if block in inside and len(t) >= MIN_PARAGRAPH]
+            long, size = [], 0
+            for start, end, inside in self.done:
+                if block in inside and size <= most and len(t := self.said(start, end, most)) >= MIN_PARAGRAPH:
+                    long.append(t)
+                    size += len(t) + 1
             if long:
-                return "\n".join(long)
-        whole = " ".join(" ".join(self.all).split())
-        return whole if len(whole) >= MIN_PAGE else ""
+                return "\n".join(long)[:most]
+        whole = self.said(0, None, max(most, MIN_PAGE))
+        return whole[:most] if len(whole) >= MIN_PAGE else ""
 
 
 def page_body(html: str | None, most: int = MAX_CHARS) -> str:
@@ -80,7 +90,7 @@ def page_body(html: str | None, most: int = MAX_CHARS) -> str:
     parser = _Text()
     parser.feed(html)
     parser.close()
-    return parser.text()[:most]
+    return parser.text(most)
 
 
 def strip_tags(html: str | None) -> str:
