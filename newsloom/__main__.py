@@ -14,6 +14,7 @@ from newsloom.config import SignalConfig, default_config, provider_queries
 from newsloom.operators import legacy, metrics
 from newsloom.plans import pipeline
 from newsloom.plans.run_state import remember, stored_state
+from newsloom.sources import collect
 from newsloom.sinks import TableStore, digest_json, review_csv, write_json, write_markdown
 
 COMMANDS = ("run", "dry-run", "qa-feeds", "test-provider", "preflight", "queries", "legacy")
@@ -27,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--config")
         s.add_argument("--regions", nargs="*")
         s.add_argument("--as-of", default=datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
-        s.add_argument("--articles")
+        s.add_argument("--articles", help="Parquet of articles; without it a run collects them from the providers")
         s.add_argument("--pages")
         s.add_argument("--state", default="state")
         s.add_argument("--out", default="output")
@@ -41,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
 
 def preflight(args, env=os.environ) -> list[str]:
     """What is missing for a run."""
-    missing = [f"{flag} is required" for flag, v in (("--articles", args.articles),) if args.command in ("run", "dry-run", "legacy") and not v]
+    missing = [f"{flag} is required" for flag, v in (("--articles", args.articles),) if args.command == "legacy" and not v]
     if args.provider in ("guardian", "newsapi") and args.command == "test-provider" and not env.get(f"{args.provider.upper()}_API_KEY"):
         missing.append(f"{args.provider.upper()}_API_KEY is not set")
     return missing
@@ -92,7 +93,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     else:
         channel, destination = "daily_digest", args.outbox or "local"
         alerts, events = stored_state(store)
-        out = pipeline.run(spark.read.parquet(args.articles), config, args.as_of, args.regions, alerts=alerts, events=events, channel=channel, destination=destination, pages=spark.read.parquet(args.pages) if args.pages else None)
+        if args.articles:
+            articles = spark.read.parquet(args.articles)
+        else:
+            keys = {p: os.environ.get(f"{p.upper()}_API_KEY", "") for p in collect.KEYED}
+            articles, told = collect.collected(spark, config, store, args.as_of, args.regions, min(args.days, 7), keys)
+            write_json(told, f"{args.out}/diagnostics.json")
+        out = pipeline.run(articles, config, args.as_of, args.regions, alerts=alerts, events=events, channel=channel, destination=destination, pages=spark.read.parquet(args.pages) if args.pages else None)
         for name in ("candidates", "dropped", "summary"):
             write_json(out[name], f"{args.out}/{name}.json")
         digest_json(out["digest"], f"{args.out}/digest.json")

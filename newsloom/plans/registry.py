@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import config as settings
+from newsloom import sinks
 from newsloom.functions import html, render
 from newsloom.functions import text as X
 from newsloom.operators import classify, digest, enrich, gate, legacy, metrics, similar, state
@@ -399,8 +400,9 @@ def provider_caps(spark, d):
 @query("mirror_actions", "select 'k' || p_partkey::varchar as digest_key, case when p_partkey in (select o_custkey from orders) then 'update' else 'create' end as action from part")
 def mirror_actions(spark, d):
     pages = S.table(spark, d, "orders").select(F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("digest_key"), F.col("o_custkey").alias("page_id")).distinct()
-    a = S.table(spark, d, "part").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("digest_key"))
-    return a.join(pages, "digest_key", "left").select("digest_key", F.when(F.col("page_id").isNull(), "create").otherwise("update").alias("action"))
+    a = S.table(spark, d, "part").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("digest_key"), F.col("p_name").alias("headline"), F.col("p_brand").alias("competitor"), F.lit("n").alias("region"),
+                                         *[F.lit("").alias(c) for c in ("country", "topic", "priority", "what_happened", "url")], F.lit(0.5).alias("confidence"), F.lit(1).alias("score"), F.lit(None).cast("date").alias("resolved_date"))
+    return sinks.mirror_actions(a, pages).select("digest_key", "action")
 
 
 # J1, J2

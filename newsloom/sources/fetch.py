@@ -8,6 +8,7 @@ uses urllib). One partition per provider where order matters for pacing, else on
 
 from __future__ import annotations
 
+import datetime
 import importlib
 import json
 import time
@@ -26,9 +27,13 @@ ATTEMPTS, FIRST_WAIT, LAST_WAIT = 3, 2.0, 10.0
 FIELDS = [f.split()[0] for f in PAYLOAD.split(", ")]
 
 
-def request_url(provider: str, query: str, days: int = 7, api_key: str = "") -> str:
+SEARCHES = ("google_news_rss", "gdelt", "newsapi", "guardian")
+
+
+def request_url(provider: str, query: str, days: int = 7, api_key: str = "", as_of: str = "") -> str:
     """URL of a provider's search; time limits and page sizes are pushed to the source."""
     q = urllib.parse.quote_plus
+    since = f"&from-date={datetime.date.fromisoformat(as_of[:10]) - datetime.timedelta(days=days)}" if as_of else ""
     if provider == "google_news_rss":
         return f"https://news.google.com/rss/search?q={q(f'{query} when:{days}d')}"
     if provider == "gdelt":
@@ -36,7 +41,7 @@ def request_url(provider: str, query: str, days: int = 7, api_key: str = "") ->
     if provider == "newsapi":
         return f"https://newsapi.org/v2/everything?q={q(query)}&language=en&pageSize=50&apiKey={q(api_key)}"
     if provider == "guardian":
-        return f"https://content.guardianapis.com/search?q={q(query)}&page-size=20&order-by=newest&show-fields=trailText,bodyText&api-key={q(api_key)}"
+        return f"https://content.guardianapis.com/search?q={q(query)}&page-size=20&order-by=newest&show-fields=trailText,bodyText{since}&api-key={q(api_key)}"
     raise ValueError(f"unsupported provider: {provider}")
 
 
@@ -74,7 +79,8 @@ class MediaReader(DataSourceReader):
     def partitions(self):
         groups: dict[object, list[dict]] = {}
         for n, r in enumerate(self.requests):
-            groups.setdefault(r["provider"] if r["provider"] in PACED else n, []).append(r)
+            # one after the other, so that a provider that is told to slow down gets no more; feeds are sites of their own
+            groups.setdefault(n if r["provider"] == "regional_rss" else r["provider"], []).append(r)
         return [_Requests(rows) for rows in groups.values()] or [_Requests([])]
 
     def read(self, partition):
