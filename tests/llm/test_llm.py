@@ -268,6 +268,37 @@ def test_lines(spark):
     assert near_left in ([""], [near])
 
 
+def test_recall_of_blocks_and_anchors(spark):
+    """What is found without the lossless way, of pairs at edit similarity 0.9; with it, all is (test_whole_job)."""
+    rng = random.Random(31)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 11))) for _ in range(4000)]
+
+    def changed(line, kind):
+        if kind == "word":
+            w = line.split()
+            w[rng.randrange(len(w))] = "".join(rng.choices("etaoin", k=5))
+            return " ".join(w)
+        s = list(line)
+        for _ in range(1 if kind == "letter" else rng.randint(1, max(1, len(line) // 10))):
+            k = rng.randrange(len(s))
+            s[k:k + 1] = rng.choice([[rng.choice("xyz")], [s[k], rng.choice("xyz")], []])
+        return " ".join("".join(s).split())
+
+    rows, pairs = [], []
+    for kind in ("letter", "word", "edits"):
+        for _ in range(150):
+            line = " ".join(rng.choices(words, k=rng.randint(5, 25)))
+            pairs.append((kind, len(rows), line, changed(line, kind)))
+            rows += [line, pairs[-1][3]]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.deduplicated(d, exact_below=64).collect() if r.n_removed}
+    far = {r.n: r.d for r in spark.createDataFrame([(n, x, y) for _, n, x, y in pairs], "n long, x string, y string").select("n", F.levenshtein("x", "y").alias("d")).collect()}
+    for kind, least in (("letter", 0.98), ("word", 0.98), ("edits", 0.85)):
+        found = [n + 1 in gone for k, n, x, y in pairs if k == kind and far[n] <= int(max(len(x), len(y)) * 0.1 + 1e-9)]
+        print(kind, len(found), sum(found) / len(found))
+        assert sum(found) >= least * len(found)
+
+
 def test_line_simhash_is_the_majority(spark):
     from pyspark.sql import Row
 
@@ -413,8 +444,6 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_line_edit_similarity_is_exact(spark):
-    from newsloom.llm.common import Scratch
-
     rng = random.Random(6)
     pool = [f"w{k}" for k in range(40)]
     texts = []
@@ -432,7 +461,8 @@ def test_line_edit_similarity_is_exact(spark):
     by_h = {h: " ".join(texts[r.doc_id]) for h, r in lines.items()}
     hs = sorted(by_h)
     pairs = [(a, b) for n, a in enumerate(hs) for b in hs[n + 1:] if lines[a].doc_id // 4 == lines[b].doc_id // 4]
-    distinct = spark.createDataFrame([(h, lines[h].doc_id, lines[h].th, lines[h].line_no) for h in hs], "h1 long, doc_id long, th long, line_no int")
-    got = {(r.a, r.b) for r in line_dedup._verified(spark.createDataFrame(pairs, "a long, b long"), d, distinct, Scratch(spark)).collect()}
+    texts = line_dedup._counted(spark.createDataFrame(list(by_h.items()), "id long, norm string"))
+    left = line_dedup._compared(spark.createDataFrame(pairs, "a long, b long"), texts)
+    got = {(r.a, r.b) for r in left.where("sure or levenshtein(x, y, most) >= 0").collect()}
     rows = spark.createDataFrame([(a, b, by_h[a], by_h[b]) for a, b in pairs], "a long, b long, x string, y string").withColumn("d", F.levenshtein("x", "y")).collect()
     assert got == {(r.a, r.b) for r in rows if r.d <= int(max(len(r.x), len(r.y)) * 0.1 + 1e-9)} and got and len(got) < len(pairs)
