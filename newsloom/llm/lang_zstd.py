@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
-#: Bounds of the training sample: documents of a language, and bytes of its dictionary, to which all of them add alike.
-SAMPLE_DOCS, DICT_BYTES = 200, 65_536
+#: Bounds of the training sample: documents of a language, characters of each, and bytes of its dictionary, to which all of them add alike.
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 200, 4096, 65_536
 CHUNK = 512
 #: A narrower lead than this rejects a document.
 MIN_MARGIN = 0.005
@@ -39,7 +39,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     document has the same share of the dictionary and fills it from its beginning.
     """
     pick = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col)).alias("h"), F.substring(text_col, 1, DICT_BYTES).alias("t")
+        F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col)).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")
     )
     first = pick.withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= SAMPLE_DOCS)
     share = first.withColumn("k", F.count("*").over(W.partitionBy("l"))).select("l", "n", F.substring("t", F.lit(1), F.floor(F.lit(DICT_BYTES) / F.col("k")).cast("int")).alias("t"))

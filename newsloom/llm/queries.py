@@ -119,4 +119,19 @@ with recursive d as (
 select doc_id, size, source_size, round(target, 4) as target,
   case when size = 0 then 0 else ((words // source_size) * size + greatest(0, least(pos + size, words % source_size) - pos))::bigint end as taken
 from p""",
+    "op9_embedding_int8": """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(node, other) as (
+  select vec_id, vec_id from embeddings
+  union
+  select r.node, l.b from reach r join l on r.other = l.a
+), c as (select node, min(other) as component_id from reach group by node),
+n as (select a, count(*) as n from l group by a)
+select e.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join c on c.node = e.vec_id left join n on n.a = e.vec_id""",
 }
