@@ -88,7 +88,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         parsed = payloads.parsed(rows)
         payloads.diagnostics(parsed, payloads.articles(parsed, config)).show(100, False)
     elif args.command == "legacy":
-        rows = legacy.relevant(legacy.heuristic(spark.read.json(args.articles), tuple(args.company or ("company",))), 4)
+        rows = legacy.relevant(legacy.heuristic(spark.read.option("multiLine", True).json(args.articles), tuple(args.company or ("company",))), 4)
         write_json(rows, f"{args.out}/mentions.json")
     else:
         channel, destination = "daily_digest", args.outbox or "local"
@@ -99,6 +99,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             keys = {p: os.environ.get(f"{p.upper()}_API_KEY", "") for p in collect.KEYED}
             articles, told = collect.collected(spark, config, store, args.as_of, args.regions, min(args.days, 7), keys)
             write_json(told, f"{args.out}/diagnostics.json")
+            write_json(metrics.provider_metrics(told), f"{args.out}/provider_metrics.json")
         out = pipeline.run(articles, config, args.as_of, args.regions, alerts=alerts, events=events, channel=channel, destination=destination, pages=spark.read.parquet(args.pages) if args.pages else None)
         for name in ("candidates", "dropped", "summary"):
             write_json(out[name], f"{args.out}/{name}.json")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.config import SignalConfig, provider_queries
+from newsloom.operators.normalize import owned
 from newsloom.operators.similar import checkpointed
 from newsloom.sinks import TableStore
 from newsloom.sources import fetch, payloads
@@ -78,10 +79,13 @@ def collected(spark: SparkSession, config: SignalConfig, store: TableStore, as_o
         again = again.withColumn("feed_url", F.nullif("feed_url", F.lit("")))
         got = got.unionByName(again.select(*[F.col(c).cast(got.schema[c].dataType).alias(c) for c in got.columns]))
     found = checkpointed(payloads.parsed(got))
-    articles = payloads.articles(found, config)
+    queries = provider_queries(spark, config, regions)
+    owners = queries.groupBy("query").agg(F.min_by(F.struct("owner_region", "owner_competitor", "owner_topic"), "seq").alias("o")).select("query", "o.*")
+    articles = owned(payloads.articles(found, config), owners)
     told = payloads.diagnostics(found, articles)
     if left:
         rows = [(r["provider"], r["query"], r["seq"], why) for r, why in left]
-        extra = spark.createDataFrame(rows, "provider string, query string, seq long, exception string").withColumn("status", F.lit("skipped"))
+        extra = spark.createDataFrame(rows, "provider string, query string, seq long, exception string").withColumns({
+            "status": F.lit("skipped"), "cached": F.lit(False), "budget_hit": F.col("exception") == "budget", "cooldown_hit": F.col("exception") == "cooldown"})
         told = told.unionByName(extra, allowMissingColumns=True)
     return articles, told

@@ -3,6 +3,7 @@
 import json
 
 from newsloom.config import default_config
+from newsloom.operators import metrics
 from newsloom.sinks import TableStore
 from newsloom.sources import collect
 
@@ -26,6 +27,8 @@ def test_collected_keeps_log_and_cache(spark, tmp_path):
 
     def go(as_of):
         articles, told = collect.collected(spark, config, store, as_of, keys={"guardian": "k"}, transport="fake_media:send")
+        assert articles.where("provider = 'guardian' and (query_owner_region is null or query_owner_competitor is null)").count() == 0
+        assert {r.provider for r in metrics.provider_metrics(told).collect()} >= {"guardian", "gdelt", "regional_rss"}
         return articles.count(), told.groupBy("provider", "status", "exception").count().collect()
 
     n, told = go("2026-05-20 10:00:00")
