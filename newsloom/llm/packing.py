@@ -145,16 +145,19 @@ def pack(docs: DataFrame, path: str | None = None, mode: str = "leading", window
             while upto < len(n):  # a bounded number of tokens at a time
                 stop = upto + max(1, int(np.searchsorted(np.cumsum(n[upto:]), BATCH_BYTES // 4)))
                 row, start, length, seq, offset = rounds.pieces(queue[upto:stop], at[upto:stop], n[upto:stop])
-                row = row + upto
-                wide = [memoryview(np.frombuffer(x.as_buffer(), width).astype("<u4").tobytes()) for x in ids[upto:stop]]
-                cut = [wide[r - upto][4 * a:4 * b] for r, a, b in zip(row.tolist(), start.tolist(), (start + length).tolist())]
-                take = pa.array(row)
+                order = np.lexsort((start, row))
+                row, start, length, seq, offset = (x[order] for x in (row, start, length, seq, offset))
+                # the pieces in order are the rows' ids in order: one buffer holds them all
+                some = ids.slice(upto, stop - upto)
+                ends = np.frombuffer(some.buffers()[1], np.int64 if pa.types.is_large_binary(some.type) else np.int32)[some.offset:some.offset + len(some) + 1]
+                wide = np.frombuffer(some.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(width).astype("<u4")
+                bounds = np.r_[0, np.cumsum(length) * 4].astype(np.int32)
+                cut = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(wide)])
+                take = pa.array(row + upto)
                 yield pa.RecordBatch.from_arrays([
-                    doc.take(take), source.take(take), pa.array(start), pa.array(length), pa.array(n[row]), pa.array(seq), pa.array(offset),
-                    pa.array(cut, pa.binary()),
+                    doc.take(take), source.take(take), pa.array(start), pa.array(length), pa.array(n[row + upto]), pa.array(seq), pa.array(offset), cut,
                 ], names=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
                 upto = stop
-                del wide, cut
             del batch, doc, source, ids
             trim()
 
