@@ -53,11 +53,19 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(df, "_scratch_path", None):
+            self._delete(path)
+
+    def drop_after(self, n: int, *kept: DataFrame) -> None:
+        """Deletes the tables written after the first ``n``, but those kept: for when nothing that is still to run reads them."""
+        stay = {getattr(df, "_scratch_path", None) for df in kept}
+        for k in range(n + 1, self.n + 1):
+            if (path := f"{self.root}/t{k}") not in stay:
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of finished plans now rather than at some later collection."""
