@@ -5,7 +5,8 @@ ids. That equals encoding the whole text because the cuts lie where the tokenize
 
 * mode ``dropped`` (white space never enters a token): at blanks and line feeds;
 * mode ``leading`` (a word carries the blank before it): at a single blank between two characters that are not white
-  space; around other white space the text stays in one piece;
+  space; around other white space the text stays in one piece, but single line feeds between such characters are cuts
+  and pieces of their own where a text has no other white space;
 * mode ``whole``: no cuts, for any other tokenizer.
 
 Ids are those that the library gives for the file as it is: the string of a special token in a text becomes its id, and such a
@@ -21,6 +22,8 @@ import re
 import numpy as np
 
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: White space that is not a single blank or line feed between other characters.
+_UNEVEN = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 #: Letters, then signs that are a piece of their own after letters.
 _STEM = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: What an entry of the cache takes besides its ids and as many characters.
@@ -28,7 +31,7 @@ _ENTRY = 160
 
 
 class Encoder:
-    def __init__(self, path: str, mode: str = "whole", most_bytes: int = 48 << 20, plain_specials: bool = False):
+    def __init__(self, path: str, mode: str = "whole", most_bytes: int = 160 << 20, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,6 +43,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.vocab <= 65536 else "<u4")
         self._batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.most, self.words, self.old, self.tails, self.size = most_bytes, {}, {}, {}, 0
+        self.heads: dict[str, bytes] = {}  # words that begin a line
+        self.feed = self._raw_ids("\n")
         # tokens that end a word, or begin one, tell apart the words of a text that go through the library together
         self.edge = np.zeros(self.vocab, bool)
         for token, at in self.tok.get_vocab(with_added_tokens=False).items():
@@ -50,6 +55,9 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self._batch(texts, add_special_tokens=False)]
 
+    def _raw_ids(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
     def _fill(self, words, prefix: str = "") -> None:
         if self.size > self.most // 2:  # words not met since the last turn go, the others move over as they are met
             self.words, self.old, self.size = {}, self.words, 0
@@ -105,10 +113,37 @@ class Encoder:
     def _dropped(self, text: str) -> bytes:
         return self._joined(text.replace("\n", " ").split(" "))
 
+    def _fill_heads(self, heads: list[str]) -> None:
+        if len(self.heads) > 65536:
+            self.heads.clear()
+        new = list(set(heads).difference(self.heads))
+        self.heads.update(zip(new, self._raw(new)))
+
     def _leading(self, text: str) -> bytes:
+        if not _UNEVEN.search(text):
+            return self._even(text)
         first, *rest = _SAFE_BLANK.split(text)
         return self._whole(first) + (self._joined(rest, " ") if rest else b"")
 
+    def _even(self, text: str) -> bytes:
+        """Ids of a text whose white space is single blanks and line feeds between other characters."""
+        lines = [line.split(" ") for line in text.split("\n")]
+
+        def joined() -> bytes:
+            heads, word, out = self.heads, self.words.__getitem__, []
+            for line in lines:
+                out.append(heads[line[0]])
+                out.extend(map(word, line[1:]))
+                out.append(self.feed)
+            return b"".join(out[:-1])
+
+        try:
+            return joined()
+        except KeyError:
+            self._fill_heads([line[0] for line in lines])
+            self._fill([w for line in lines for w in line[1:]], " ")
+            return joined()
+
     def __call__(self, text: str | None) -> np.ndarray:
         """Ids of a text; null counts as empty."""
         if not text:
