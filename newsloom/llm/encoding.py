@@ -22,8 +22,7 @@ import re
 import numpy as np
 
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
-#: White space that is not a single blank or line feed between other characters.
-_UNEVEN = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Letters, then signs that are a piece of their own after letters.
 _STEM = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: What an entry of the cache takes besides its ids and as many characters.
@@ -37,8 +36,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = plain_specials
-        special = [] if plain_specials else [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = [] if plain_specials else [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocab <= 65536 else "<u4")
         self._batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
@@ -120,7 +118,9 @@ class Encoder:
         self.heads.update(zip(new, self._raw(new)))
 
     def _leading(self, text: str) -> bytes:
-        if not _UNEVEN.search(text):
+        # is all white space single blanks and line feeds between other characters?
+        pairs = "  " in text or "\n" in text and ("\n\n" in text or " \n" in text or "\n " in text)
+        if not (pairs or text[0].isspace() or text[-1].isspace() or _OTHER_SPACE.search(text)):
             return self._even(text)
         first, *rest = _SAFE_BLANK.split(text)
         return self._whole(first) + (self._joined(rest, " ") if rest else b"")
@@ -148,7 +148,7 @@ class Encoder:
         """Ids of a text; null counts as empty."""
         if not text:
             return np.empty(0, self.dtype)
-        whole = self.special is not None and self.special.search(text)
+        whole = any(x in text for x in self.special)
         return np.frombuffer(self._whole(text) if whole else self._ids(text), dtype=self.dtype)
 
 
