@@ -9,6 +9,9 @@ ids. That equals encoding the whole text because the cuts lie where the tokenize
   and pieces of their own where a text has no other white space;
 * mode ``whole``: no cuts, for any other tokenizer.
 
+Texts go through in batches: Arrow splits them and numbers the distinct words, the cache or the library gives each
+distinct word's ids once, and NumPy gathers them. A word's entry never depends on what was met before it.
+
 Ids are those that the library gives for the file as it is: the string of a special token in a text becomes its id, and such a
 text is encoded whole. With ``plain_specials`` these strings are ordinary text.
 """
@@ -18,19 +21,31 @@ from __future__ import annotations
 import functools
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+#: In a batch blanks part the words; a head is a word without a blank before it, an inner blank belongs to its word.
+_HEAD, _INNER, _ALONE = "\x01", "\x02", "\x00"
+#: Latin and Cyrillic letters that stay letters, one for one, when composed and lowered. Others go to the library word by word.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-žЀ-ҁҊ-ԯ"
+_PLAIN = re.compile(f"[{_LETTERS}]+")
 #: Letters, then signs that are a piece of their own after letters.
-_STEM = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+_STEM = re.compile(f"([{_LETTERS}]+)([!-&(-/:-@\\[-`{{-~]+)")
 #: What an entry of the cache takes besides its ids and as many characters.
 _ENTRY = 160
+#: Characters of a batch, and words that go through the library as one text.
+BATCH_CHARS = 4 << 20
+_TOGETHER = 4096
 
 
 class Encoder:
-    def __init__(self, path: str, mode: str = "whole", most_bytes: int = 160 << 20, plain_specials: bool = False):
+    def __init__(self, path: str, mode: str = "whole", most_bytes: int = 200 << 20, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,116 +55,169 @@ class Encoder:
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocab <= 65536 else "<u4")
         self._batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        self.most, self.words, self.old, self.tails, self.size = most_bytes, {}, {}, {}, 0
-        self.heads: dict[str, bytes] = {}  # words that begin a line
-        self.feed = self._raw_ids("\n")
+        self.most, self.words, self.old, self.size = most_bytes, {}, {}, 0
         # tokens that end a word, or begin one, tell apart the words of a text that go through the library together
         self.edge = np.zeros(self.vocab, bool)
         for token, at in self.tok.get_vocab(with_added_tokens=False).items():
             self.edge[at] = token.endswith("</w>") if mode == "dropped" else token.startswith("Ġ")
         self.ends = mode == "dropped"
-        self._ids = {"dropped": self._dropped, "leading": self._leading, "whole": self._whole}[mode]
+        self.mode, self.blank = mode, "" if mode == "dropped" else " "
+        feed = self.tok.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else -1  # the id of a line feed
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self._batch(texts, add_special_tokens=False)]
 
-    def _raw_ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+    def _marked(self, text: str) -> str:
+        """The text with its words parted by blanks."""
+        if self.mode == "whole" or any(x in text for x in self.special):
+            return _HEAD + text.replace(" ", _INNER)
+        if self.mode == "dropped":
+            return text.replace("\n", " ")
+        # is all white space single blanks and line feeds between other characters?
+        pairs = "  " in text or "\n" in text and ("\n\n" in text or " \n" in text or "\n " in text)
+        other = any(x in text for x in _OTHER_ASCII) if text.isascii() else _OTHER_SPACE.search(text)
+        if not (pairs or other or text[0].isspace() or text[-1].isspace()):
+            return _HEAD + text.replace("\n", f" {_HEAD}\n {_HEAD}")
+        return _HEAD + " ".join(x.replace(" ", _INNER) for x in _SAFE_BLANK.split(text))
+
+    def _library(self, key: str) -> str:
+        """What the library gets for a word."""
+        return key[1:].replace(_INNER, " ") if key[:1] == _HEAD else self.blank + key.replace(_INNER, " ")
 
-    def _fill(self, words, prefix: str = "") -> None:
+    def _fill(self, new: list[str]) -> None:
+        """Adds distinct words that the cache lacks."""
         if self.size > self.most // 2:  # words not met since the last turn go, the others move over as they are met
             self.words, self.old, self.size = {}, self.words, 0
-        new = set(words).difference(self.words)
-        again = {w: self.old[w] for w in new if w in self.old}
-        self.words.update(again)
-        self.size += sum(map(len, again.values())) * 2 + _ENTRY * len(again)
-        new.difference_update(again)
-        # words of letters alone are one piece each for these tokenizers, so many go through as one text
-        plain = [w for w in new if w.isalpha()]
-        parts = [m for m in map(_STEM.fullmatch, new.difference(plain)) if m and m[1].isalpha()]
-        self._add_plain(list({*plain, *(m[1] for m in parts if m[1] not in self.words)}), new, prefix)
-        for m in parts:
-            stem = self.words.get(m[1])
-            if stem is not None:
-                tail = self.tails.get(m[2])
-                if tail is None:
-                    tail = self.tails[m[2]] = self._raw([m[2]])[0]
-                self.words[m[0]] = stem + tail
-                self.size += 2 * len(stem) + _ENTRY
-                new.discard(m[0])
-        if len(self.tails) > 65536:
-            self.tails.clear()
-        rest = list(new)
-        made = self._raw([prefix + w for w in rest])
-        self.words.update(zip(rest, made))
-        self.size += sum(map(len, rest)) + sum(map(len, made)) + _ENTRY * len(rest)
-
-    def _add_plain(self, plain: list[str], new: set[str], prefix: str) -> None:
-        """Adds words of letters whose ids can be told apart by their edges, and takes them out of ``new``."""
-        for at in range(0, len(plain), 1024):
-            some = plain[at:at + 1024]
-            ids = np.array(self._batch([prefix + " ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        before = list(map(self.old.get, new))
+        if any(before):
+            self._add([w for w, ids in zip(new, before) if ids], [ids for ids in before if ids])
+            new = [w for w, ids in zip(new, before) if not ids]
+        plain = [w for w in new if w.isalpha() and (w.isascii() or _PLAIN.fullmatch(w))]
+        done = set(plain)
+        others = [w for w in new if w not in done] if len(plain) < len(new) else []
+        match = list(map(_STEM.fullmatch, others))
+        words, stems, signs = [w for w, m in zip(others, match) if m], [m[1] for m in match if m], [m[2] for m in match if m]
+        left = self._together([*plain, *set(stems).difference(self.words).difference(done)])
+        left += self._heads([w for w, m in zip(others, match) if not m])
+        self._add(left, self._raw([self._library(w) for w in left]))
+        tails = list(set(signs))
+        tail = dict(zip(tails, self._raw(tails)))
+        self._add(words, [self.words[s] + tail[t] for s, t in zip(stems, signs)])
+
+    def _add(self, words: list[str], ids: list[bytes]) -> None:
+        self.words.update(zip(words, ids))
+        self.size += sum(map(len, words)) + sum(map(len, ids)) + _ENTRY * len(words)
+
+    def _heads(self, words: list[str]) -> list[str]:
+        """Adds plain words that begin a line, as lines of one text; returns the words that are none or can't be told apart."""
+        if self.blank != " ":
+            return words
+        found = [bool(w[:1] == _HEAD and (_PLAIN.fullmatch(w, 1) or _STEM.fullmatch(w, 1))) for w in words]
+        heads, left = [w for w, x in zip(words, found) if x], [w for w, x in zip(words, found) if not x]
+        for at in range(0, len(heads), _TOGETHER):
+            some = heads[at:at + _TOGETHER]
+            ids = np.frombuffer(self._raw(["\n".join(w[1:] for w in some)])[0], self.dtype)
+            feed = np.flatnonzero(ids == self.feed) if self.feed >= 0 else []
+            if len(feed) == len(some) - 1:
+                self._add(some, [x[1 if k else 0:].tobytes() for k, x in enumerate(np.split(ids, feed))])
+            else:
+                left += some
+        return left
+
+    def _together(self, plain: list[str]) -> list[str]:
+        """Adds words of letters that can be told apart by their edges in one text; returns those that can't be."""
+        left = []
+        for at in range(0, len(plain), _TOGETHER):
+            some = plain[at:at + _TOGETHER]
+            ids = np.array(self._batch([self.blank + " ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             edge = np.flatnonzero(self.edge[ids])
-            if len(edge) == len(some):
-                raw, k = ids.tobytes(), self.dtype.itemsize
-                bounds = ((np.r_[0, edge + 1] if self.ends else np.r_[edge, len(ids)]) * k).tolist()
-                if bounds[0] == 0 and bounds[-1] == len(raw):
-                    self.words.update(zip(some, [raw[a:b] for a, b in zip(bounds, bounds[1:])]))
-                    new.difference_update(some)
-                    self.size += 2 * len(raw) + _ENTRY * len(some)
-
-    def _joined(self, words: list[str], prefix: str = "") -> bytes:
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._fill(words, prefix)
-            return b"".join(map(self.words.__getitem__, words))
-
-    def _whole(self, text: str) -> bytes:
-        return self._raw([text])[0]
-
-    def _dropped(self, text: str) -> bytes:
-        return self._joined(text.replace("\n", " ").split(" "))
-
-    def _fill_heads(self, heads: list[str]) -> None:
-        if len(self.heads) > 65536:
-            self.heads.clear()
-        new = list(set(heads).difference(self.heads))
-        self.heads.update(zip(new, self._raw(new)))
-
-    def _leading(self, text: str) -> bytes:
-        # is all white space single blanks and line feeds between other characters?
-        pairs = "  " in text or "\n" in text and ("\n\n" in text or " \n" in text or "\n " in text)
-        if not (pairs or text[0].isspace() or text[-1].isspace() or _OTHER_SPACE.search(text)):
-            return self._even(text)
-        first, *rest = _SAFE_BLANK.split(text)
-        return self._whole(first) + (self._joined(rest, " ") if rest else b"")
-
-    def _even(self, text: str) -> bytes:
-        """Ids of a text whose white space is single blanks and line feeds between other characters."""
-        lines = [line.split(" ") for line in text.split("\n")]
-
-        def joined() -> bytes:
-            heads, word, out = self.heads, self.words.__getitem__, []
-            for line in lines:
-                out.append(heads[line[0]])
-                out.extend(map(word, line[1:]))
-                out.append(self.feed)
-            return b"".join(out[:-1])
-
-        try:
-            return joined()
-        except KeyError:
-            self._fill_heads([line[0] for line in lines])
-            self._fill([w for line in lines for w in line[1:]], " ")
-            return joined()
+            raw, k = ids.tobytes(), self.dtype.itemsize
+            bounds = ((np.concatenate([[0], edge + 1]) if self.ends else np.concatenate([edge, [len(ids)]])) * k).tolist()
+            if len(edge) == len(some) and bounds[0] == 0 and bounds[-1] == len(raw):
+                self._add(some, [raw[a:b] for a, b in zip(bounds, bounds[1:])])
+            else:
+                left += some
+        return left
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and where each text's begin and end; null counts as empty."""
+        rows, owner, alone = [], [], {}
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if _HEAD in text or _INNER in text or _ALONE in text:  # has a character that marks words here
+                alone[key := f"{_HEAD}{_ALONE}{k}"] = self._raw([text])[0]
+                rows.append(key), owner.append(k)
+                continue
+            marked, at = self._marked(text), 0
+            while len(marked) - at > BATCH_CHARS and (cut := marked.find(" ", at + BATCH_CHARS)) > 0:
+                rows.append(marked[at:cut]), owner.append(k)
+                at = cut + 1
+            rows.append(marked[at:] if at else marked), owner.append(k)
+        counts = np.zeros(len(texts) + 1, np.int64)
+        parts = []
+        for lo, hi in _runs(rows):
+            flat, n = self._some(rows[lo:hi], alone)
+            parts.append(flat)
+            np.add.at(counts, np.array(owner[lo:hi]) + 1, n)
+        return np.concatenate(parts) if parts else np.empty(0, self.dtype), np.cumsum(counts)
+
+    def _some(self, rows: list[str], alone: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of marked texts and how many each has."""
+        split = pc.split_pattern(pa.array(rows, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.words.get, words))
+        new = [w for w, ids in zip(words, got) if ids is None]
+        if new:
+            ahead = [w for w in new if w not in alone]
+            if ahead:
+                self._fill(ahead)
+                # a turn of the cache may have put away words that were found before
+                now = self.words
+                got = [ids if ids is not None else now.get(w) for w, ids in zip(words, got)]
+            got = [ids if ids is not None else alone[w] for w, ids in zip(words, got)]
+        code = coded.indices.to_numpy()
+        size = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(got), self.dtype)
+        each = size[code]
+        end = np.cumsum(each)
+        total = int(end[-1]) if len(end) else 0
+        at = np.repeat(start[code] - (end - each), each)
+        at += np.arange(total)
+        bounds = np.concatenate([[0], end])[split.offsets.to_numpy()]
+        return flat[at], np.diff(bounds)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Ids of a text; null counts as empty."""
-        if not text:
-            return np.empty(0, self.dtype)
-        whole = any(x in text for x in self.special)
-        return np.frombuffer(self._whole(text) if whole else self._ids(text), dtype=self.dtype)
+        return self.batch([text])[0]
+
+
+def _runs(rows: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``BATCH_CHARS`` characters."""
+    lo, size = 0, 0
+    for k, row in enumerate(rows):
+        size += len(row)
+        if size >= BATCH_CHARS:
+            yield lo, k + 1
+            lo, size = k + 1, 0
+    if lo < len(rows):
+        yield lo, len(rows)
+
+
+def by_size(rows, text, most: int = BATCH_CHARS):
+    """Lists of rows whose texts have about ``most`` characters together; ``text`` gives a row's."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(text(row) or "")
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 @functools.lru_cache(1)

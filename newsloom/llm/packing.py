@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch, arrow_batches
-from newsloom.llm.encoding import Encoder, forget, public_path, shared, trim
+from newsloom.llm.encoding import Encoder, by_size, forget, public_path, shared, trim
 
 WINDOW = 2048
 END_ID = 1
@@ -42,18 +42,15 @@ def encoded(docs: DataFrame, path: str, mode: str, end_id: int = END_ID) -> Data
         part, sent = TaskContext.get().partitionId(), {}
         end = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
-            doc, source, at, n, ids, size = [], [], [], [], [], 0
-            for d, s, t in zip(*batch.columns):  # one text at a time as a string
-                d, s = d.as_py(), s.as_py()
-                x = encode(t.as_py()).tobytes() + end
-                k = len(x) // encode.dtype.itemsize
-                doc.append(d), source.append(s), at.append(sent.get(s, 0)), n.append(k), ids.append(x)
-                sent[s] = sent.get(s, 0) + k
-                size += len(x)
-                if size > BATCH_BYTES:
-                    yield made(part, doc, source, at, n, ids)
-                    doc, source, at, n, ids, size = [], [], [], [], [], 0
-            yield made(part, doc, source, at, n, ids)
+            # texts become strings a bounded number at a time
+            for some in by_size(((d.as_py(), s.as_py(), t.as_py()) for d, s, t in zip(*batch.columns)), lambda r: r[2]):
+                flat, ends = encode.batch([t for _, _, t in some])
+                doc, source, at, n, ids = [], [], [], [], []
+                for (d, s, _), a, b in zip(some, ends.tolist(), ends[1:].tolist()):
+                    k = b - a + 1
+                    doc.append(d), source.append(s), at.append(sent.get(s, 0)), n.append(k), ids.append(flat[a:b].tobytes() + end)
+                    sent[s] = sent.get(s, 0) + k
+                yield made(part, doc, source, at, n, ids)
         trim()
 
     def made(part, doc, source, at, n, ids):

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import arrow_batches
-from newsloom.llm.encoding import forget, public_path, shared, trim
+from newsloom.llm.encoding import by_size, forget, public_path, shared, trim
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
@@ -116,11 +116,11 @@ def write(docs: DataFrame, target: str, path: str | None = None, mode: str = "dr
         encode = shared(path, mode)
         base, part, shard = max(encode.vocab, end_id + 1), TaskContext.get().partitionId(), 0
         end = np.array([end_id], encode.dtype)
-        ids, docs, count = [], [], 0
+        ids, docs, sizes, count = [], [], [], 0
 
         def made():
             rules, spans, levels, symbols = compress(np.concatenate(ids), base)
-            ends = np.cumsum([len(x) for x in ids]).astype("<i8")
+            ends = np.cumsum(sizes).astype("<i8")
             num = np.array([0 if d is None else d for d in docs], "<i8")
             null = np.array([d is None for d in docs], np.uint8)
             cell = [part, shard, count, base, *(x.tobytes() for x in (num, null, ends, rules.astype("<u4"), spans.astype("<u4"), levels.astype("<u4"), symbols.astype("<u4")))]
@@ -128,15 +128,17 @@ def write(docs: DataFrame, target: str, path: str | None = None, mode: str = "dr
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cell, types)], names=[x.split()[0] for x in SHARDS.split(", ")])
 
         for batch in batches:
-            for d, t in zip(batch.column(0), batch.column(1)):  # one text at a time as a string
-                d = d.as_py()
-                x = np.concatenate([encode(t.as_py()), end])
-                ids.append(x), docs.append(d)
-                count += len(x)
-                if count >= SHARD_TOKENS:
-                    yield made()
-                    shard += 1
-                    ids, docs, count = [], [], 0
+            # texts become strings a bounded number at a time
+            for some in by_size(((d.as_py(), t.as_py()) for d, t in zip(*batch.columns)), lambda r: r[1]):
+                flat, ends = encode.batch([t for _, t in some])
+                for (d, _), a, b in zip(some, ends.tolist(), ends[1:].tolist()):
+                    ids += flat[a:b], end
+                    docs.append(d), sizes.append(b - a + 1)
+                    count += b - a + 1
+                    if count >= SHARD_TOKENS:
+                        yield made()
+                        shard += 1
+                        ids, docs, sizes, count = [], [], [], 0
         if docs:
             yield made()
         trim()
