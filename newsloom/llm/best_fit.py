@@ -137,7 +137,7 @@ def pack(docs: DataFrame, path: str | None = None, mode: str = "leading", window
             slot = slots[row]
             inside, each = rank - slot[:, 1], slot[:, 3]
             placed = [pa.array(slot[:, 4] + inside // each), pa.array(slot[:, 5] + inside % each * length)]
-            kept = [batch.column(c) for c in columns[:-2]]
-            yield pa.RecordBatch.from_arrays([*kept, *placed, *[batch.column("ids")] * with_ids], names=[*columns, *["ids"] * with_ids])
+            kept, ids = [batch.column(c) for c in columns[:-2]], ["ids"] * with_ids
+            yield pa.RecordBatch.from_arrays([*kept, *placed, *[batch.column(c) for c in ids]], names=[*columns, *ids])
 
     return ranked.mapInArrow(run, PLACED + ", ids binary" * with_ids)

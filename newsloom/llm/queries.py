@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat_format, embed_dedup, lang_zstd, line_dedup, mixing, mpeg_audio, packing, secret_scan, simhash, token_files
+from newsloom.llm import best_fit, chat_format, embed_dedup, hard_negatives, lang_zstd, line_dedup, merkle, mixing, mpeg_audio, packing, secret_scan, simhash, token_files
 from newsloom.llm.common import Scratch, table
 
 
@@ -81,6 +81,22 @@ def op10_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held.alias("held_out"), "lang_pred", "score", ((F.col("lang_pred") != lang_zstd.UNKNOWN) & (F.col("score") >= lang_zstd.MIN_MARGIN)).alias("accepted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, label)
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = F.when(hit, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), found)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
@@ -92,6 +108,9 @@ QUERIES = {
     "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_embedding_int8": op9_embedding_int8,
     "op10_language_zstd": op10_language_zstd,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_best_fit": op12_best_fit,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Words of a text counted as in the contract; md5 orders each source's stream; the rest of a mix that ends inside
@@ -134,4 +153,56 @@ with recursive v as (
 n as (select a, count(*) as n from l group by a)
 select e.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
 from embeddings e join c on c.node = e.vec_id left join n on n.a = e.vec_id""",
+    "op11_hard_negatives": """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5""",
+    "op13_merkle_manifest": r"""
+with recursive c as (  -- crc32 of the digits, a bit at a time
+  select *, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda x: [ascii(x)::bigint, 256, 256, 256, 256, 256, 256, 256, 256]))),
+    lambda a, x: case when x < 256 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end) % 2 = 1 as hit
+  from documents
+), f as (
+  select doc_id, source, text, case when hit then replace(text, chr(10), '') else text end as found,
+    coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+    || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-') as head
+  from c
+), leaf as (
+  select doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) as leaf, sha256(head || coalesce(octet_length(encode(found)) || ':' || found, '-')) as found,
+    row_number() over (partition by source order by doc_id nulls first) - 1 as place, count(*) over (partition by source) as n
+  from f
+), node(tree, step, place, n, h) as (
+  select source, 0, place, n, leaf from leaf
+  union all
+  select tree, step + 1, place // 3, (n + 2) // 3, sha256(string_agg(h, '' order by place)) from node where n > 1 group by tree, step, place // 3, n
+), top as (
+  select tree, h, row_number() over (order by tree nulls first) - 1 as place, count(*) over () as n from node where n = 1
+), upper(step, place, n, h) as (
+  select 1000, place, n, h from top
+  union all
+  select step + 1, place // 3, (n + 2) // 3, sha256(string_agg(h, '' order by place)) from upper where n > 1 group by step, place // 3, n
+), run as (
+  select *, coalesce(lag(h, 2) over w, '') || coalesce(lag(h) over w, '') as l, coalesce(lead(h) over w, '') || coalesce(lead(h, 2) over w, '') as r
+  from (select tree, true as lower, step, place, n, h from node union all select null, false, step, place, n, h from upper)
+  window w as (partition by tree, lower, step, place // 3 order by place)
+), walk(doc_id, source, step, place, top, found, proof) as (
+  select doc_id, source, 0, leaf.place, top.place, found, '' from leaf join top on source is not distinct from tree
+  union all
+  select w.doc_id, w.source, case when r.n > 1 then w.step + 1 else 1000 end, case when r.n > 1 then w.place // 3 when r.lower then w.top else 0 end, w.top,
+    case when r.n > 1 then sha256(r.l || w.found || r.r) else w.found end, case when r.n > 1 then w.proof || r.l || r.r else w.proof end
+  from walk w join run r on r.step = w.step and r.place = w.place and (not r.lower or r.tree is not distinct from w.source) and r.lower = (w.step < 1000) where r.lower or r.n > 1
+)
+select leaf.doc_id, leaf, top.h as subroot, u.h as root, sha256(proof) as proof_sha256, w.found as folded_root, w.found = u.h as verified
+from leaf join top on source is not distinct from tree join (select h from upper where n = 1) u on true
+join (select * from walk qualify row_number() over (partition by doc_id order by step desc) = 1) w on leaf.doc_id = w.doc_id""",
 }
