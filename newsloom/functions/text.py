@@ -7,6 +7,7 @@ string unless said otherwise.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -140,6 +141,15 @@ def term_pattern(term: str, inflect: bool = False) -> str:
     return OPEN + r"\s+".join(quoted(w) for w in term.split(" ")) + CLOSE
 
 
+#: What parts words from each other, as bounded patterns see it.
+BETWEEN = r"[^\p{L}\p{N}_]+"
+
+
+def pieces(term: str) -> list[str]:
+    """The runs of letters, digits and underscores of a term."""
+    return "".join(c if c == "_" or unicodedata.category(c)[0] in "LN" else " " for c in term).split()
+
+
 def has_term(folded: Column, term: str, inflect: bool = False) -> Column:
     """Whether a folded text has a term; a plain search for its first word spares most rows the pattern."""
     term = term.casefold().strip()
@@ -148,6 +158,51 @@ def has_term(folded: Column, term: str, inflect: bool = False) -> Column:
     return F.contains(folded, F.lit(term.split(" ")[0])) & folded.rlike(term_pattern(term, inflect))
 
 
+class Terms:
+    """Bounded terms looked up among the words of a folded text, which is split once for all of them.
+
+    A term of one plain word is in the text if one of its forms is a word of it. Other terms need all their words there, and only then
+    their pattern. ``has`` collects the words to look for; ``words`` is the column ``name`` that the tests read.
+    """
+
+    def __init__(self, folded: str, name: str):
+        self.folded, self.name, self.known = folded, name, {}
+
+    def has(self, term: str, inflect: bool = False) -> Column:
+        term = term.casefold().strip()
+        own = pieces(term)
+        if not term:
+            return F.lit(False)
+        if not own:
+            return has_term(F.col(self.folded), term)
+        if own == [term]:
+            forms = [term, *(term + e for e in ("s", "es", "ed", "ing") if inflect and re.fullmatch("[a-z]+", term))]
+            self.known.update(dict.fromkeys(forms))
+            return F.array_contains(self.name, term) if len(forms) == 1 else F.arrays_overlap(self.name, F.lit(forms))
+        self.known.update(dict.fromkeys(own))
+        out = F.lit(True)
+        for w in dict.fromkeys(own):
+            out &= F.array_contains(self.name, w)
+        return out & F.col(self.folded).rlike(term_pattern(term, inflect))
+
+    def any(self, terms, inflect: bool = False) -> Column:
+        return any_of(self.has(t, inflect) for t in terms)
+
+    def all(self, terms, inflect: bool = False) -> Column:
+        """Those of the terms that the text has, in their order."""
+        return F.array_compact(F.array(*[F.when(self.has(t, inflect), F.lit(t)) for t in terms])) if terms else F.array().cast("array<string>")
+
+    def first(self, terms) -> Column:
+        return first_of((self.has(t), t) for t in terms)
+
+    def on(self, df, blob: Column):
+        """``df`` with the folded text and its words, for the tests made so far."""
+        return pinned(pinned(df, {self.folded: blob}), {self.name: self.words()})
+
+    def words(self) -> Column:
+        return F.array_intersect(F.split(self.folded, BETWEEN), F.lit(sorted(self.known)) if self.known else F.array().cast("array<string>"))
+
+
 def pinned(df, columns: dict):
     """withColumns() whose results are computed once: filters on them are not pushed below, where each use would repeat them."""
     made = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
@@ -162,7 +217,9 @@ def any_of(checks) -> Column:
 
 
 def contains_any(folded: Column, terms) -> Column:
-    return any_of(F.contains(folded, F.lit(t)) for t in terms)
+    """Whether a text has one of the terms anywhere; a term that holds another one says nothing more."""
+    terms = list(dict.fromkeys(terms))
+    return any_of(F.contains(folded, F.lit(t)) for t in terms if not any(o in t for o in terms if o != t))
 
 
 def first_of(checks) -> Column:

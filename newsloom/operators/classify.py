@@ -85,6 +85,14 @@ def signal_terms(topic: str) -> tuple[str, ...]:
     return (*TOPICS.get(name, ()), *EXTRA_SIGNALS.get(name, ()))
 
 
+def allowed_pairs(rows: DataFrame, competitor_region: DataFrame, matched: bool = True) -> DataFrame:
+    """Rows whose (region, competitor) the configuration's table allows, or those for which it does not.
+
+    The same rule as in ``classified``, as a join, for configurations kept as tables; null in either is a mismatch.
+    """
+    return rows.join(competitor_region.select("region", "competitor"), ["region", "competitor"], "left_semi" if matched else "left_anti").select(*rows.columns)
+
+
 def classified(articles: DataFrame, config: SignalConfig, regions=None) -> DataFrame:
     """Adds competitor, topic_group, matched_keywords, region, country_hint, language_hint, score, reasons, summary, drop_reason
     and drop_details to normalised articles; drop_reason is null for the candidates. The article's own region moves to article_region."""
@@ -92,14 +100,14 @@ def classified(articles: DataFrame, config: SignalConfig, regions=None) -> DataF
     brands = config.brands_of(regions)
     geo_terms = {r: config.regions[r].geo_terms for r in config.regions}
     flat = {f"_b{n}": brand_match(b, config.aliases.get(b, ()), F.col("_content"), F.col("_text")) for n, b in enumerate(brands)}
-    flat |= {f"_k{n}": F.array_compact(F.array(*[F.when(X.has_term(F.col("_text"), k, inflect=True), F.lit(k)) for k in ks])) for n, ks in enumerate(config.topics.values())}
-    flat |= {f"_g_{r}": X.first_of((X.has_term(F.col("_text"), t), t) for t in ts) for r, ts in geo_terms.items()}
-    flat["_ignored"] = F.array_compact(F.array(*[F.when(X.has_term(F.col("_text"), t), F.lit(t)) for t in config.ignored_geo])) if config.ignored_geo else F.array().cast("array<string>")
+    terms = X.Terms("_text", "_words")
+    flat |= {f"_k{n}": terms.all(ks, inflect=True) for n, ks in enumerate(config.topics.values())}
+    flat |= {f"_g_{r}": terms.first(ts) for r, ts in geo_terms.items()}
+    flat |= {"_ignored": terms.all(config.ignored_geo), "_target": terms.any(config.target_terms(regions))}
+    flat["_signals"] = F.array_compact(F.array(*[F.when(terms.any(signal_terms(t), inflect=True), F.lit(t)) for t in config.topics]))
     hints = F.transform(F.coalesce("competitor_hints", F.array().cast("array<string>")), X.fold)
-    out = X.pinned(articles.withColumnRenamed("region", "article_region"), {"_content": X.blob("title", "snippet", "source"), "_text": article_blob(), "_hints": hints})
-    flat["_target"] = X.any_of(X.has_term(F.col("_text"), t) for t in config.target_terms(regions))
-    flat["_signals"] = F.array_compact(F.array(*[F.when(X.any_of(X.has_term(F.col("_text"), s, inflect=True) for s in signal_terms(t)), F.lit(t)) for t in config.topics]))
-    out = X.pinned(out, flat)
+    out = X.pinned(articles.withColumnRenamed("region", "article_region"), {"_content": X.blob("title", "snippet", "source"), "_hints": hints})
+    out = X.pinned(terms.on(out, article_blob()), flat)
     hit = [(F.col(f"_b{n}"), F.array_contains("_hints", b.casefold()), b) for n, b in enumerate(brands)]
     competitor = F.coalesce(X.first_of((m & h, b) for m, h, b in hit), X.first_of((m, b) for m, _, b in hit))
     out = X.pinned(out, {"competitor": competitor, "_topic": best_topic(config)}).withColumns({"topic_group": F.col("_topic.topic"), "matched_keywords": F.coalesce("_topic.keywords", F.array().cast("array<string>"))})

@@ -13,11 +13,11 @@ from newsloom.operators import gate, similar
 PRIORITY = {"HIGH": 3, "MEDIUM": 2, "LOW": 1}
 
 
-def region_strength(region: str, config: SignalConfig, blob: Column) -> Column:
+def region_strength(region: str, config: SignalConfig, terms: X.Terms) -> Column:
     """Distinct markers of a region that a text names."""
     rc = config.regions[region]
-    terms = dict.fromkeys(t.casefold() for t in (rc.label, *rc.geo_terms, *rc.validation_terms))
-    return sum((X.has_term(blob, t).cast("int") for t in terms), F.lit(0))
+    markers = dict.fromkeys(t.casefold() for t in (rc.label, *rc.geo_terms, *rc.validation_terms))
+    return sum((terms.has(t).cast("int") for t in markers), F.lit(0))
 
 
 def assigned(candidates: DataFrame, config: SignalConfig, regions=None) -> DataFrame:
@@ -25,8 +25,9 @@ def assigned(candidates: DataFrame, config: SignalConfig, regions=None) -> DataF
 
     Adds strength and region_ord; rows that end up in no selected region have region_ord null, so they can be audited."""
     regions = config.selected(regions)
-    out = X.pinned(candidates, {"_geo": gate.geo_blob()})
-    out = X.pinned(out, {f"_s_{r}": region_strength(r, config, F.col("_geo")) for r in regions})
+    terms = X.Terms("_geo", "_geo_words")
+    strengths = {f"_s_{r}": region_strength(r, config, terms) for r in regions}
+    out = X.pinned(terms.on(candidates, gate.geo_blob()), strengths)
     most = F.greatest(F.lit(0), F.lit(0), *[F.col(f"_s_{r}") for r in regions])
     winners = sum(((F.col(f"_s_{r}") == most).cast("int") for r in regions), F.lit(0))
     clear = F.when((most > 0) & (winners == 1), X.first_of((F.col(f"_s_{r}") == most, r) for r in regions))
@@ -39,7 +40,7 @@ def assigned(candidates: DataFrame, config: SignalConfig, regions=None) -> DataF
         strength, place = F.when(F.col("region") == r, F.col(f"_s_{r}")).otherwise(strength), F.when(F.col("region") == r, n).otherwise(place)
     out = X.pinned(out, {"region": region})
     out = X.pinned(out, {"strength": strength, "region_ord": place})
-    return out.drop("_geo", *[f"_s_{r}" for r in regions])
+    return out.drop("_geo", "_geo_words", *[f"_s_{r}" for r in regions])
 
 
 def dedup_key() -> Column:

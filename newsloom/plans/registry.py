@@ -106,15 +106,16 @@ def date_resolution(spark, d):
 
 @query("term_match", "with" + O.ARTICLES + "select seq, " + ", ".join(f"{O.term('t', k, True)} as {k}" for k in ("tion", "er", "ered", "ering")) + " from txt")
 def term_match(spark, d):
-    t = classify.article_blob()
-    return S.articles(spark, d).select("seq", *[X.has_term(t, k, inflect=True).alias(k) for k in ("tion", "er", "ered", "ering")])
+    t = X.Terms("t", "w")
+    found = [t.has(k, inflect=True).alias(k) for k in ("tion", "er", "ered", "ering")]
+    return t.on(S.articles(spark, d), classify.article_blob()).select("seq", *found)
 
 
 @query("geo_term_match", "with" + O.ARTICLES + "select seq, list_filter([" + ", ".join(f"case when {O.term('t', g)} then {O.lit(g)} end" for g in CFG.target_terms(list(CFG.regions))) + "], lambda x: x is not null)::varchar as terms from txt")
 def geo_term_match(spark, d):
-    t = classify.article_blob()
-    found = F.array_compact(F.array(*[F.when(X.has_term(t, g), F.lit(g)) for g in CFG.target_terms(list(CFG.regions))]))
-    return S.articles(spark, d).select("seq", F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("terms"))
+    t = X.Terms("t", "w")
+    found = t.all(CFG.target_terms(list(CFG.regions)))
+    return t.on(S.articles(spark, d), classify.article_blob()).select("seq", F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("terms"))
 
 
 @query("topic_argmax", "with" + O.CLASSIFIED + "select seq, topic_group, len(matched)::bigint as n from cls")
@@ -134,8 +135,9 @@ def region_precedence(spark, d):
 
 @query("ignored_geo_filter", "with" + O.CLASSIFIED + "select seq, ign and not tgt as ignored from cls where ign")
 def ignored_geo_filter(spark, d):
-    t = classify.article_blob()
-    rows = S.articles(spark, d).select("seq", X.any_of(X.has_term(t, g) for g in CFG.ignored_geo).alias("ign"), X.any_of(X.has_term(t, g) for g in CFG.target_terms(list(CFG.regions))).alias("tgt"))
+    t = X.Terms("t", "w")
+    ign, tgt = t.any(CFG.ignored_geo).alias("ign"), t.any(CFG.target_terms(list(CFG.regions))).alias("tgt")
+    rows = t.on(S.articles(spark, d), classify.article_blob()).select("seq", ign, tgt)
     return rows.where("ign").select("seq", (~F.col("tgt")).alias("ignored"))
 
 
@@ -180,16 +182,25 @@ def marketing_filter(spark, d):
 
 # J7, P30
 
-@query("allowed_pair_semi", "select c_custkey, c_mktsegment from customer where exists (select 1 from nation where n_nationkey = c_nationkey and n_regionkey in (0, 2))")
+_PAIR = " or ".join(f"(r = {O.lit(r)} and c in ({O.names(bs)}))" for r, bs in CFG.brands.items())
+_CUSTOMERS = """with p as (select c_custkey as seq, (['north', 'south', 'west'])[(c_nationkey % 3 + 1)::int] as r, (['Ther', 'Than', 'Thing', 'Erin'])[(c_custkey % 4 + 1)::int] as c from customer)"""
+
+
+def _pairs(spark, d):
+    """customer as sightings of a brand in a region, some of them in none that is configured."""
+    c = S.table(spark, d, "customer")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.pmod(n, F.lit(len(names))) + 1).cast("int"))
+    return c.select(F.col("c_custkey").alias("seq"), pick(("north", "south", "west"), F.col("c_nationkey")).alias("region"), pick(("Ther", "Than", "Thing", "Erin"), F.col("c_custkey")).alias("competitor"))
+
+
+@query("allowed_pair_semi", _CUSTOMERS + f" select seq, r as region, c as competitor from p where {_PAIR}")
 def allowed_pair_semi(spark, d):
-    n = S.table(spark, d, "nation").where(F.col("n_regionkey").isin(0, 2))
-    return S.table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey", "c_mktsegment")
+    return classify.allowed_pairs(_pairs(spark, d), CFG.dims(spark)["competitor_region"])
 
 
-@query("mismatch_anti", "select s_suppkey, s_name from supplier where not exists (select 1 from nation where n_nationkey = s_nationkey and n_regionkey in (0, 2))")
+@query("mismatch_anti", _CUSTOMERS + f" select seq, r as region, c as competitor from p where not ({_PAIR})")
 def mismatch_anti(spark, d):
-    n = S.table(spark, d, "nation").where(F.col("n_regionkey").isin(0, 2))
-    return S.table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").select("s_suppkey", "s_name")
+    return classify.allowed_pairs(_pairs(spark, d), CFG.dims(spark)["competitor_region"], matched=False)
 
 
 # W1 to W7, O1, O2, P24, A9
