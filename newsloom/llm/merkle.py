@@ -17,10 +17,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from newsloom.llm.common import Scratch
 
@@ -31,9 +32,9 @@ LEVELS = 5
 STEP, BUCKET = 3, 4096
 #: Copies of one row that are numbered in one go.
 COPIES = 1024
-BLOCK = "by string, name string, digest string"
-PATH = "by string, name string, up_left array<string>, up_right array<string>, subroot string"
-PROOF = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
+BLOCK = pa.schema([("by", pa.string()), ("name", pa.string()), ("digest", pa.string())])
+PATH = pa.schema([("by", pa.string()), ("name", pa.string()), ("up_left", pa.list_(pa.string())), ("up_right", pa.list_(pa.string())), ("subroot", pa.string())])
+PROOF = pa.schema([("doc_id", pa.int64()), *((c, pa.string()) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")), ("verified", pa.bool_())])
 
 
 def digest(*fields: Column) -> Column:
@@ -140,10 +141,13 @@ def siblings(levels: list[list[str]], at: int) -> tuple[list[str], list[str]]:
     return left, right
 
 
-def _tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        tops = [tower([x["digest"] for x in nodes], levels)[-1][0] for nodes, levels in zip(pdf["nodes"], pdf["levels"])]
-        yield pd.DataFrame({"by": pdf["by"], "name": pdf["block"], "digest": tops})
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _batch([(b["by"], b["block"], tower([x["digest"] for x in b["nodes"]], b["levels"])[-1][0]) for b in batch.to_pylist()], BLOCK)
 
 
 def reduced(nodes: DataFrame, members: list[str], most: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
@@ -151,51 +155,50 @@ def reduced(nodes: DataFrame, members: list[str], most: int, scratch: Scratch) -
     rounds = []
     for k in range(max(1, -(-most // LEVELS))):
         rounds.append(scratch.cut(blocks(nodes, [] if k else members)))
-        nodes = scratch.cut(rounds[-1].mapInPandas(_tops, BLOCK))
+        nodes = scratch.cut(rounds[-1].mapInArrow(_tops, from_arrow_schema(BLOCK)))
     return rounds, nodes.select("by", "digest")
 
 
-def _members(pdf: pd.DataFrame):
-    """Every member of the blocks with its block's row and the siblings on its way to the root."""
-    for block in pdf.itertuples():
-        levels = tower([x["digest"] for x in block.nodes], block.levels)
-        for at, x in enumerate(block.nodes):
+def _members(batch: pa.RecordBatch):
+    """Every member of the blocks with its block and the siblings on its way to the root."""
+    for block in batch.to_pylist():
+        levels = tower([x["digest"] for x in block["nodes"]], block["levels"])
+        for at, x in enumerate(block["nodes"]):
             left, right = siblings(levels, at)
-            yield block, x, [*left, *block.up_left], [*right, *block.up_right]
+            yield block, x, [*left, *block["up_left"]], [*right, *block["up_right"]]
 
 
-def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame([(b.by, x["name"], left, right, b.subroot) for b, x, left, right in _members(pdf)], columns=["by", "name", "up_left", "up_right", "subroot"])
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _batch([(b["by"], x["name"], left, right, b["subroot"]) for b, x, left, right in _members(batch)], PATH)
 
 
-def _sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame([(x["of"], "", left, right, x["digest"]) for _, x, left, right in _members(pdf)], columns=["by", "name", "up_left", "up_right", "subroot"])
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _batch([(x["of"], "", left, right, x["digest"]) for _, x, left, right in _members(batch)], PATH)
 
 
 def _proofs(root: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for b, x, left, right in _members(pdf):
+            for b, x, left, right in _members(batch):
                 folded = x["found"] or x["digest"]
                 for a, c in zip(left, right):
                     folded = _h(a, folded, c)
-                doc = None if x["doc_id"] is None else int(x["doc_id"])
-                out.append((doc, x["digest"], b.subroot, root, _h(*[y for pair in zip(left, right) for y in pair]), folded, folded == root))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PROOF.split(", ")]).astype({"doc_id": "Int64"})
+                out.append((x["doc_id"], x["digest"], b["subroot"], root, _h(*[y for pair in zip(left, right) for y in pair]), folded, folded == root))
+            yield _batch(out, PROOF)
 
     return run
 
 
-def _down(rounds: list[DataFrame], top: DataFrame, last, kind: str, scratch: Scratch) -> DataFrame:
+def _down(rounds: list[DataFrame], top: DataFrame, last, kind: pa.Schema, scratch: Scratch) -> DataFrame:
     """Carries paths from the tops of trees down to the members of the first round, to which ``last`` is applied."""
     for k, block in reversed(list(enumerate(rounds))):
         known = block.join(top.withColumnRenamed("name", "block"), ["by", "block"])
         if not k:
-            return known.mapInPandas(last, kind)
-        top = scratch.cut(known.mapInPandas(_nodes, PATH))
+            return known.mapInArrow(last, from_arrow_schema(kind))
+        top = scratch.cut(known.mapInArrow(_nodes, from_arrow_schema(PATH)))
 
 
 def manifest(docs: DataFrame, found_text: Column | None = None) -> DataFrame:
@@ -223,6 +226,6 @@ def manifest(docs: DataFrame, found_text: Column | None = None) -> DataFrame:
     most = sources.agg(F.max(F.char_length("name")).alias("n")).head()["n"] or 0
     upper, top = reduced(sources, ["of"], most, scratch)
     root = top.head()
-    start = docs.sparkSession.createDataFrame([("", "", [], [], "")], PATH)
+    start = docs.sparkSession.createDataFrame([("", "", [], [], "")], from_arrow_schema(PATH))
     tops = scratch.cut(_down(upper, start, _sources, PATH, scratch))
     return _down(rounds, tops, _proofs(root["digest"] if root else ""), PROOF, scratch)
