@@ -44,8 +44,17 @@ BATCH_CHARS = 4 << 20
 _TOGETHER = 4096
 
 
+#: The letter that stands for each byte in byte-level models: printable ones for themselves, the others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTER = dict(zip([b for b in range(256) if b not in _PRINTED], range(256, 512)))
+
+
+def _byte_letters(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTER)
+
+
 class Encoder:
-    def __init__(self, path: str, mode: str = "whole", most_bytes: int = 200 << 20, plain_specials: bool = False):
+    def __init__(self, path: str, mode: str = "whole", most_bytes: int = 280 << 20, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,10 +65,10 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.vocab <= 65536 else "<u4")
         self._batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.most, self.words, self.old, self.size = most_bytes, {}, {}, 0
-        # tokens that end a word, or begin one, tell apart the words of a text that go through the library together
+        # tokens that begin a word tell apart the words of a text that go through the library together
         self.edge = np.zeros(self.vocab, bool)
         for token, at in self.tok.get_vocab(with_added_tokens=False).items():
-            self.edge[at] = token.endswith("</w>") if mode == "dropped" else token.startswith("Ġ")
+            self.edge[at] = token.startswith("Ġ")
         self.ends = mode == "dropped"
         self.mode, self.blank = mode, "" if mode == "dropped" else " "
         feed = self.tok.encode("\n", add_special_tokens=False).ids
@@ -126,14 +135,20 @@ class Encoder:
         return left
 
     def _together(self, plain: list[str]) -> list[str]:
-        """Adds words of letters that can be told apart by their edges in one text; returns those that can't be."""
+        """Adds words of letters, each a single piece; returns those that can't be told apart by their edges in one text."""
+        if self.ends:  # such a piece is the lowered word, and the library's model takes it as it is
+            piece = self.tok.model.tokenize
+            low = [w.lower() for w in plain]
+            of = {w: np.array([t.id for t in piece(_byte_letters(w))], self.dtype).tobytes() for w in set(low)}
+            self._add(plain, [of[w] for w in low])
+            return []
         left = []
         for at in range(0, len(plain), _TOGETHER):
             some = plain[at:at + _TOGETHER]
             ids = np.array(self._batch([self.blank + " ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             edge = np.flatnonzero(self.edge[ids])
             raw, k = ids.tobytes(), self.dtype.itemsize
-            bounds = ((np.concatenate([[0], edge + 1]) if self.ends else np.concatenate([edge, [len(ids)]])) * k).tolist()
+            bounds = (np.concatenate([edge, [len(ids)]]) * k).tolist()
             if len(edge) == len(some) and bounds[0] == 0 and bounds[-1] == len(raw):
                 self._add(some, [raw[a:b] for a, b in zip(bounds, bounds[1:])])
             else:
