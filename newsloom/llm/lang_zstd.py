@@ -100,5 +100,6 @@ def predict(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
 
 
 def accepted(docs: DataFrame, content: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The rows whose language is clear: neither ``und`` nor won by less than ``min_margin``."""
-    return predict(docs, content).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_margin)).select(*docs.columns)
+    """The rows whose language is clear, neither ``und`` nor won by less than ``min_margin``, with all their columns as they are."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return predict(rows, content).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_margin)).select("row.*")
