@@ -35,6 +35,7 @@ _HEAD, _INNER, _ALONE = "\x01", "\x02", "\x00"
 #: Latin and Cyrillic letters that stay letters, one for one, when composed and lowered. Others go to the library word by word.
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-žЀ-ҁҊ-ԯ"
 _PLAIN = re.compile(f"[{_LETTERS}]+")
+_LOWERED_OTHERWISE = re.compile(f"[^\\x00-\\x7f{_LETTERS}]")
 #: Letters, then signs that are a piece of their own after letters.
 _STEM = re.compile(f"([{_LETTERS}]+)([!-&(-/:-@\\[-`{{-~]+)")
 #: What an entry of the cache takes besides its ids and as many characters.
@@ -69,7 +70,8 @@ class Encoder:
         self.edge = np.zeros(self.vocab, bool)
         for token, at in self.tok.get_vocab(with_added_tokens=False).items():
             self.edge[at] = token.startswith("Ġ")
-        self.ends = mode == "dropped"
+        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        self.lowers = mode == "dropped" and ids("ABÉ Ж") == ids("abé ж") != ids("")
         self.mode, self.blank = mode, "" if mode == "dropped" else " "
         feed = self.tok.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else -1  # the id of a line feed
@@ -82,6 +84,10 @@ class Encoder:
         if self.mode == "whole" or any(x in text for x in self.special):
             return _HEAD + text.replace(" ", _INNER)
         if self.mode == "dropped":
+            # such a tokenizer lowers its text; where that is one letter for one, fewer words are distinct
+            if self.lowers and (text.isascii() or not _LOWERED_OTHERWISE.search(text)):
+                low = text.lower()
+                text = text if any(x in low for x in self.special) else low
             return text.replace("\n", " ")
         # is all white space single blanks and line feeds between other characters?
         pairs = "  " in text or "\n" in text and ("\n\n" in text or " \n" in text or "\n " in text)
@@ -136,7 +142,9 @@ class Encoder:
 
     def _together(self, plain: list[str]) -> list[str]:
         """Adds words of letters, each a single piece; returns those that can't be told apart by their edges in one text."""
-        if self.ends:  # such a piece is the lowered word, and the library's model takes it as it is
+        if self.mode == "dropped" and not self.lowers:
+            return plain
+        if self.lowers:  # such a piece is the lowered word, and the library's model takes it as it is
             piece = self.tok.model.tokenize
             low = [w.lower() for w in plain]
             of = {w: np.array([t.id for t in piece(_byte_letters(w))], self.dtype).tobytes() for w in set(low)}
