@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import datetime
-import hashlib
 import os
 import sys
 
@@ -36,7 +35,8 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--query", action="append", default=[])
         s.add_argument("--company", nargs="*", default=[])
         s.add_argument("--days", type=int, default=30)
-        s.add_argument("--outbox", help="folder that takes the cards to deliver, one text file each; without it nothing is delivered")
+        s.add_argument("--outbox", help="where cards are delivered: for the default sender a folder that takes a text file each; without it nothing is delivered")
+        s.add_argument("--sender", default="newsloom.delivery:Folder", help="module:factory of the transport of messages, which gets --outbox")
     return p
 
 
@@ -48,18 +48,6 @@ def preflight(args, env=os.environ) -> list[str]:
     return missing
 
 
-def file_sender(folder: str):
-    """Delivers a card as a text file named by a digest of its key; the file's path is the delivery's id."""
-    def send(key: str, card: str) -> str:
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, hashlib.sha256(key.encode()).hexdigest()[:32] + ".txt")
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(card)
-        return path
-
-    return send
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
     if not argv or argv[0].startswith("--"):
@@ -107,7 +95,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         write_markdown(out["digest"], f"{args.out}/digest_preview", args.as_of)
         review_csv(out["candidates"], out["digest"], f"{args.out}/candidates_review")
         if args.command == "run":
-            remember(store, out, file_sender(args.outbox) if args.outbox else None, channel, destination, args.as_of)
+            remember(store, out, args.sender if args.outbox else None, channel, destination, args.as_of)
         print(out["summary"].toPandas().to_string(index=False))
     return 0
 

@@ -1,46 +1,65 @@
-"""What a run takes from the state of earlier runs and adds to it (survey X1 to X4, P27, K7 to K10, K13)."""
+"""What a run takes from the state of earlier runs and adds to it (survey X1 to X4, P27, K7 to K10, K13).
+
+Everything a run stores stands in a place named after the run, so a run that was killed and is repeated replaces its own rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom import delivery
 from newsloom.operators import state
-from newsloom.sinks import TableStore, deliver
+from newsloom.sinks import TableStore
 
 EVENTS = "alert_key string, channel string, destination string, status string, seq long, external_id string, error_message string, event_ts timestamp"
 
 
-def stored_state(store: TableStore) -> tuple[DataFrame | None, DataFrame | None]:
-    """(alerts, delivery events) of earlier runs; both None before the first run."""
+def run_name(as_of: str, channel: str, destination: str) -> str:
+    """Name of a run: its time and where it delivers; ordered by time."""
+    return re.sub(r"[^A-Za-z0-9]+", "-", f"{as_of} {channel} {destination}").strip("-")
+
+
+def stored_state(store: TableStore, but: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(alerts, delivery events) of earlier runs, without those of the run ``but``; both None before the first run."""
     if not store.exists("alerts"):
         return None, None
-    return store.spark.read.option("mergeSchema", True).parquet(f"{store.root}/alerts"), store.read("delivery_events", EVENTS)
+    alerts = store.spark.read.option("mergeSchema", True).parquet(f"{store.root}/alerts")
+    events = store.read("delivery_events", EVENTS + ", run string")
+    if but is not None:
+        alerts, events = (x.where(F.col("run") != but) for x in (alerts, events))
+    alerts, events = alerts.drop("run"), events.drop("run")
+    return (None, None) if but is not None and alerts.isEmpty() else (alerts, events)
 
 
-def remember(store: TableStore, out: dict[str, DataFrame], send: Callable[[str, str], str] | None, channel: str, destination: str, as_of: str) -> None:
+def remember(store: TableStore, out: dict[str, DataFrame], sender: str | None, channel: str, destination: str, as_of: str, run: str | None = None, wait: float = delivery.FIRST_WAIT) -> None:
     """Stores a run: its counts, new candidates and alerts, and the events of its deliveries.
 
-    Old deferred alerts expire first. With a sender, every alert of the digest is sent, and what could not be sent is
-    deferred to the next run. Without one nothing was delivered, so no delivery is recorded.
+    Old deferred alerts expire first. ``sender`` names the transport of messages: then every alert of the digest is sent, and what could
+    not be sent is deferred to the next run. Without one nothing was delivered, so no delivery is recorded. Alerts are stored before anything
+    is sent, and sent messages have receipts: at whatever point a run is killed, repeating it sends only the rest.
     """
-    at = F.lit(as_of).cast("timestamp")
-    alerts, events = stored_state(store)
+    at, run = F.lit(as_of).cast("timestamp"), run or run_name(as_of, channel, destination)
+    alerts, events = stored_state(store, run)
+    parts = []
     if alerts is not None:
-        gone = state.expirations(alerts, events, channel, destination, as_of).withColumn("seq", F.lit(0).cast("long"))
-        store.append("delivery_events", _event_rows(gone))
+        parts.append(_event_rows(state.expirations(alerts, events, channel, destination, as_of).withColumn("seq", F.lit(0).cast("long"))))
     digest = out["digest"].persist()
     try:
-        store.append("runs", out["summary"].withColumn("as_of", at))
-        store.insert_new("candidates", out["candidates"], "url", "competitor", "topic_group")
-        store.insert_new("alerts", digest.withColumn("created_at", at), "digest_key")
-        if send is not None:
-            sent = deliver(digest, send, channel, destination, as_of).persist()
+        store.put("runs", out["summary"].withColumn("as_of", at), run)
+        store.insert_new("candidates", out["candidates"], run, "url", "competitor", "topic_group")
+        store.insert_new("alerts", digest.withColumn("created_at", at), run, "digest_key")
+        if sender is not None:
+            sent = delivery.deliver(digest, f"{store.root}/delivery", run, sender, destination, channel, as_of, wait=wait).persist()
             late = state.deferrals(digest, sent.where("status = 'delivered'"), channel, destination, as_of).withColumn("seq", F.lit(1 << 40).cast("long"))
-            store.append("delivery_events", _event_rows(sent).unionByName(_event_rows(late)))
-            sent.unpersist()
+            parts += [_event_rows(sent), _event_rows(late)]
+        if parts:
+            rows = parts[0]
+            for more in parts[1:]:
+                rows = rows.unionByName(more)
+            store.put("delivery_events", rows, run)
     finally:
         digest.unpersist()
 

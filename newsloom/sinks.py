@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -64,14 +62,15 @@ class TableStore:
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.root}/{name}")
 
-    def put(self, name: str, rows: DataFrame, batch_id: int) -> None:
-        """Writes a batch's rows in the batch's own place: a second time replaces the first."""
-        rows.drop("batch_id").write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={batch_id}")
+    def put(self, name: str, rows: DataFrame, run: str) -> None:
+        """Writes a run's rows in the run's own place: a second time replaces the first. Tables written so have a column ``run``."""
+        rows.drop("run").write.mode("overwrite").parquet(f"{self.root}/{name}/run={run}")
 
-    def insert_new(self, name: str, rows: DataFrame, *keys: str, order: str = "seq") -> None:
-        """Appends rows whose key is new; the first writer wins."""
-        fresh = state.new_rows(rows, self.read(name, rows.schema), *keys, order=order)
-        self.append(name, fresh)
+    def insert_new(self, name: str, rows: DataFrame, run: str, *keys: str, order: str = "seq") -> None:
+        """Stores rows whose key no other run has; the first writer wins."""
+        rows = rows.drop("run")
+        other = self.read(name, rows.select(*keys, F.lit("").alias("run")).schema).where(F.col("run") != run)
+        self.put(name, state.new_rows(rows, other, *keys, order=order), run)
 
 
 def feed_metric_defaults(rows: DataFrame) -> DataFrame:
@@ -81,20 +80,6 @@ def feed_metric_defaults(rows: DataFrame) -> DataFrame:
     return rows.fillna(0, numbers).fillna("", words).fillna("keep", ["recommendation"] if "recommendation" in rows.columns else [])
 
 
-def deliver(alerts: DataFrame, send: Callable[[str, str], str], channel: str, destination: str, as_of: str, dry_run: bool = False) -> DataFrame:
-    """Sends the cards of a bounded digest, one message each, and returns the delivery events (K13). A dry run only logs."""
-    spark = alerts.sparkSession
-    rows = alerts.select("digest_key", "region_ord", "rank", render.card().alias("card")).orderBy("region_ord", "rank").collect()
-    events = []
-    for n, r in enumerate(rows):
-        try:
-            ref, status, error = ("", "dry_run", "") if dry_run else (send(r["digest_key"], r["card"]), "delivered", "")
-        except Exception as e:
-            ref, status, error = "", "failed", str(e)
-        events.append((r["digest_key"], channel, destination, status, n, str(ref or ""), error))
-    return spark.createDataFrame(events, "alert_key string, channel string, destination string, status string, seq long, external_id string, error_message string").withColumn("event_ts", F.lit(as_of).cast("timestamp"))
-
-
 def mirror_actions(alerts: DataFrame, pages: DataFrame, dry_run: bool = False) -> DataFrame:
     """Create or update per alert, by key, against the mirror's pages (K14, S27); pages has digest_key, page_id."""
     prefix = "would_" if dry_run else ""

@@ -4,7 +4,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from newsloom.__main__ import file_sender
 from newsloom.plans import pipeline, surrogate
 from newsloom.plans.run_state import remember, stored_state
 from newsloom.sinks import TableStore
@@ -13,20 +12,20 @@ from newsloom.streaming import micro_batch
 SF = "/root/testdata/sf0.001"
 
 
-def _run(spark, store):
+def _run(spark, store, box="box"):
     alerts, events = stored_state(store)
-    return pipeline.run(surrogate.articles(spark, SF), surrogate.CONFIG, surrogate.AS_OF, alerts=alerts, events=events, destination="box")
+    return pipeline.run(surrogate.articles(spark, SF), surrogate.CONFIG, surrogate.AS_OF, alerts=alerts, events=events, destination=box)
 
 
 def test_second_run_holds_nothing_that_was_delivered(spark, tmp_path):
     store = TableStore(spark, f"{tmp_path}/state")
-    first = _run(spark, store)
+    first = _run(spark, store, f"{tmp_path}/box")
     keys = {r.digest_key for r in first["digest"].select("digest_key").collect()}
-    remember(store, first, file_sender(f"{tmp_path}/box"), "daily_digest", "box", surrogate.AS_OF)
+    remember(store, first, "newsloom.delivery:Folder", "daily_digest", f"{tmp_path}/box", surrogate.AS_OF)
     assert keys and len(os.listdir(f"{tmp_path}/box")) == len(keys)
     alerts, events = stored_state(store)
     assert {r.alert_key for r in events.where("status = 'delivered'").collect()} == keys == {r.digest_key for r in alerts.collect()}
-    second = _run(spark, store)
+    second = _run(spark, store, f"{tmp_path}/box")
     assert not keys & {r.digest_key for r in second["digest"].select("digest_key").collect()}
 
 
@@ -36,10 +35,8 @@ def test_nothing_is_delivered_without_a_sender(spark, tmp_path):
     remember(store, out, None, "daily_digest", "box", surrogate.AS_OF)
     assert stored_state(store)[1].count() == 0 and store.exists("runs")
 
-    def refuse(key, card):
-        raise OSError("closed")
-
-    remember(store, out, refuse, "daily_digest", "box", surrogate.AS_OF)
+    (tmp_path / "closed").write_text("no folder can be made here")
+    remember(store, out, "newsloom.delivery:Folder", "daily_digest", f"{tmp_path}/closed/box", surrogate.AS_OF, wait=0.01)
     events = stored_state(store)[1]
     assert {r.status for r in events.select("status").distinct().collect()} == {"failed", "deferred"}
 
@@ -49,7 +46,7 @@ def test_repeated_batch_adds_nothing(spark, tmp_path):
     rows = spark.createDataFrame([(0, "Bolt opens", "https://www.e.com/a/?utm_source=x"), (1, "Grab opens", "https://e.com/b")], "seq long, title string, url string")
     seen = []
 
-    def run(fresh):
+    def run(fresh, name):
         seen.append(fresh.count())
         made = pipeline.normalize.normalized(pipeline.normalize.conformed(fresh))
         return {"articles": made, "digest": made.select("seq")}
@@ -58,4 +55,4 @@ def test_repeated_batch_adds_nothing(spark, tmp_path):
     each(rows, 0)
     each(rows, 0)
     each(rows.withColumn("url", F.concat("url", F.lit("#top"))), 1)
-    assert seen == [2, 2] and store.read("digest", "seq long, batch_id long").count() == 2 == store.read("articles_raw", "url string, batch_id long").count()
+    assert seen == [2, 2] and store.read("digest", "seq long, run string").count() == 2 == store.read("articles_raw", "url string, run string").count()
