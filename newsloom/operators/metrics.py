@@ -36,20 +36,42 @@ def feed_health(metrics: DataFrame, as_of: str, days: int = 30, min_items: int =
     return out.orderBy(F.col("_o").desc(), i.desc(), "feed_name", "feed_url", "region").limit(max(1, int(limit))).drop("_o")
 
 
-def query_precision(articles: DataFrame, candidates: DataFrame, alerts: DataFrame, as_of: str, half_life_days: float = 30.0) -> DataFrame:
-    """Time-decayed precision per query (A2, J14): 0.4 of candidates plus 0.6 of alerts, shrunk by w / (w + 2).
+#: What a run learns about its queries; the weights are decayed to ``landmark``.
+EVIDENCE = "query string, articles long, weight double, cw double, aw double, landmark timestamp"
+
+
+def query_evidence(articles: DataFrame, candidates: DataFrame, alerts: DataFrame, landmark: Column, half_life_days: float = 30.0) -> DataFrame:
+    """Decayed counts per query of a run's articles, and of those that became candidates and alerts.
 
-    articles: article_id, query, created_at; candidates: article_id; alerts: article_id."""
+    articles: article_id, query, created_at; candidates: article_id; alerts: article_id. ``landmark``, a Column over articles, is the time the
+    weights are decayed to, no earlier than what it weighs: decay on from there is one factor, so evidence of runs adds up.
+    """
     has_c = candidates.select("article_id").distinct().withColumn("c", F.lit(1.0))
     has_a = alerts.select("article_id").distinct().withColumn("a", F.lit(1.0))
-    w = X.decay(F.col("created_at"), F.lit(as_of).cast("timestamp"), half_life_days)
-    rows = articles.join(has_c, "article_id", "left").join(has_a, "article_id", "left").withColumn("w", w)
-    per = rows.groupBy("query").agg(F.count("*").alias("articles"), F.sum("w").alias("weight"), F.sum(F.col("w") * F.coalesce("c", F.lit(0.0))).alias("cw"), F.sum(F.col("w") * F.coalesce("a", F.lit(0.0))).alias("aw"))
+    rows = articles.withColumn("landmark", landmark).withColumn("w", X.decay(F.col("created_at"), F.col("landmark"), half_life_days))
+    rows = rows.join(has_c, "article_id", "left").join(has_a, "article_id", "left")
+    return rows.groupBy("query", "landmark").agg(
+        F.count("*").alias("articles"), F.sum("w").alias("weight"), F.sum(F.col("w") * F.coalesce("c", F.lit(0.0))).alias("cw"), F.sum(F.col("w") * F.coalesce("a", F.lit(0.0))).alias("aw"),
+    ).select(*[c.split()[0] for c in EVIDENCE.split(", ")])
+
+
+def learned_precision(evidence: DataFrame, as_of: str, half_life_days: float = 30.0) -> DataFrame:
+    """Precision per query from the evidence of all runs: 0.4 of candidates plus 0.6 of alerts, shrunk by w / (w + 2).
+
+    Equals the figure over all articles at once, as evidence of each run needs one factor; a row a query and run is all that is read.
+    """
+    f = X.decay(F.col("landmark"), F.lit(as_of).cast("timestamp"), half_life_days)
+    per = evidence.withColumn("f", f).groupBy("query").agg(F.sum("articles").alias("articles"), *[F.sum(F.col(c) * F.col("f")).alias(c) for c in ("weight", "cw", "aw")])
     weight = F.greatest("weight", F.lit(0.0001))
     score = 0.4 * F.col("cw") / weight + 0.6 * F.col("aw") / weight
     return per.select("query", "articles", F.round(score * weight / (weight + 2.0), 4).alias("precision"))
 
 
+def query_precision(articles: DataFrame, candidates: DataFrame, alerts: DataFrame, as_of: str, half_life_days: float = 30.0) -> DataFrame:
+    """Time-decayed precision per query over all articles."""
+    return learned_precision(query_evidence(articles, candidates, alerts, F.lit(as_of).cast("timestamp"), half_life_days), as_of, half_life_days)
+
+
 def ordered_queries(queries: DataFrame, precision: DataFrame, caps: dict[str, int]) -> DataFrame:
     """Queries per provider, the historically precise first, then in order, up to the provider's cap (O3); queries has provider, query, seq."""
     w = W.partitionBy("provider").orderBy(F.col("precision").desc(), "seq")

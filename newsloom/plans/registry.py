@@ -328,10 +328,22 @@ with a as (select d.doc_id, 'q' || (d.doc_id % 40)::varchar as query, e.ts, (l.d
 w as (select *, pow(0.5::double, greatest(0, (epoch_us(timestamp '2024-01-31') - epoch_us(ts)) / 86400000000.0) / 14) as w from a)
 select query, count(*)::bigint as articles, round((0.4::double * sum(w * c) / greatest(sum(w), 0.0001) + 0.6::double * sum(w * al) / greatest(sum(w), 0.0001)) * greatest(sum(w), 0.0001) / (greatest(sum(w), 0.0001) + 2), 4) as precision from w group by 1""")
 def query_precision_decay(spark, d):
+    return metrics.query_precision(*_found_by_queries(spark, d), S.AS_OF, 14)
+
+
+def _found_by_queries(spark, d):
     e = S.table(spark, d, "events").select(F.col("event_id").alias("article_id"), F.col("ts").alias("created_at"))
     a = S.table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.concat(F.lit("q"), F.pmod("doc_id", F.lit(40)).cast("string")).alias("query")).join(e, "article_id")
     l = S.table(spark, d, "labels").withColumnRenamed("doc_id", "article_id")
-    return metrics.query_precision(a, l, l.where("quality = 1"), S.AS_OF, 14)
+    return a, l, l.where("quality = 1")
+
+
+@query("query_learning_merge", ORACLE["query_precision_decay"])
+def query_learning_merge(spark, d):
+    """The same from the evidence of weekly runs, each decayed to its own end."""
+    week = F.date_trunc("week", "created_at") + F.expr("interval 7 days")
+    evidence = metrics.query_evidence(*_found_by_queries(spark, d), F.least(week, F.lit(S.AS_OF).cast("timestamp")), 14)
+    return metrics.learned_precision(evidence, S.AS_OF, 14)
 
 
 @query("feed_run_metrics", """

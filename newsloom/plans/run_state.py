@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import delivery
-from newsloom.operators import state
+from newsloom.operators import metrics, state
 from newsloom.sinks import TableStore
 
 EVENTS = "alert_key string, channel string, destination string, status string, seq long, external_id string, error_message string, event_ts timestamp"
@@ -51,6 +51,7 @@ def remember(store: TableStore, out: dict[str, DataFrame], sender: str | None, c
         store.put("runs", out["summary"].withColumn("as_of", at), run)
         store.insert_new("candidates", out["candidates"], run, "url", "competitor", "topic_group")
         store.insert_new("alerts", digest.withColumn("created_at", at), run, "digest_key")
+        learn(store, out, at, run)
         if sender is not None:
             sent = delivery.deliver(digest, f"{store.root}/delivery", run, sender, destination, channel, as_of, wait=wait).persist()
             late = state.deferrals(digest, sent.where("status = 'delivered'"), channel, destination, as_of).withColumn("seq", F.lit(1 << 40).cast("long"))
@@ -64,6 +65,15 @@ def remember(store: TableStore, out: dict[str, DataFrame], sender: str | None, c
         digest.unpersist()
 
 
+def learn(store: TableStore, out: dict[str, DataFrame], at: Column, run: str) -> None:
+    """Stores what a run's new articles say about the queries that found them."""
+    store.insert_new("articles_raw", out["articles"].where("url <> ''").select("seq", "url", "query", "provider"), run, "url")
+    new = store.spark.read.parquet(f"{store.root}/articles_raw/run={run}").where("query <> ''")
+    found = new.select(F.col("url").alias("article_id"), F.trim("query").alias("query"), at.alias("created_at"))
+    of = lambda rows: rows.select(F.col("url").alias("article_id"))
+    store.put("query_evidence", metrics.query_evidence(found, of(out["candidates"]), of(out["digest"]), at), run)
+
+
 def _event_rows(rows: DataFrame) -> DataFrame:
     blank = {c: F.lit("") for c in ("external_id", "error_message") if c not in rows.columns}
     return rows.withColumns(blank).select(*[F.col(x.split()[0]).cast(x.split()[1]).alias(x.split()[0]) for x in EVENTS.split(", ")])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.config import SignalConfig, provider_queries
+from newsloom.operators import metrics
 from newsloom.operators.normalize import owned
 from newsloom.operators.similar import checkpointed
 from newsloom.sinks import TableStore
@@ -26,10 +27,13 @@ LOG = "provider string, query string, at timestamp, http_status int"
 CACHE = payloads.PAYLOAD + ", expires_at timestamp"
 
 
-def planned(spark: SparkSession, config: SignalConfig, as_of: str, regions=None, days: int = 7, keys: dict[str, str] | None = None) -> list[dict]:
-    """The requests of a run in order: searches by topic priority, then feeds. Searches that need a key are left out without one."""
+def planned(spark: SparkSession, config: SignalConfig, as_of: str, regions=None, days: int = 7, keys: dict[str, str] | None = None, precision: DataFrame | None = None) -> list[dict]:
+    """The requests of a run in order: searches, a provider's most precise queries first (``precision``: query, precision), then by topic
+    priority; then feeds. Searches that need a key are left out without one."""
     keys, out = keys or {}, []
-    for r in provider_queries(spark, config, regions).orderBy("seq").collect():  # as many as the configuration says
+    queries = provider_queries(spark, config, regions)
+    queries = queries.withColumn("place", F.col("seq")) if precision is None else metrics.ordered_queries(queries, precision, {})
+    for r in queries.orderBy("place", "seq").collect():  # as many as the configuration says
         p = r["provider"]
         if p in fetch.SEARCHES and (p not in KEYED or keys.get(p)):
             out.append({"provider": p, "query": r["query"], "seq": len(out), "url": fetch.request_url(p, r["query"], days, keys.get(p, ""), as_of)})
@@ -62,7 +66,8 @@ def allowed(requests: list[dict], log: DataFrame, as_of: str) -> tuple[list[dict
 def collected(spark: SparkSession, config: SignalConfig, store: TableStore, as_of: str, regions=None, days: int = 7, keys: dict[str, str] | None = None, transport: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(articles, diagnostics) of a run's searches and feeds; the log and the cache grow by what was sent."""
     at = F.lit(as_of).cast("timestamp")
-    requests = planned(spark, config, as_of, regions, days, keys)
+    precision = metrics.learned_precision(store.read("query_evidence", metrics.EVIDENCE + ", run string"), as_of)
+    requests = planned(spark, config, as_of, regions, days, keys, precision)
     live = store.read("payload_cache", CACHE).where(F.col("expires_at") > at)
     place = F.coalesce("feed_url", F.lit(""))
     held = live.select("provider", "query", place.alias("feed_url"), "expires_at", *[c for c in fetch.FIELDS if c not in ("provider", "query", "feed_url", "seq")])
