@@ -9,6 +9,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from newsloom import reports
 from newsloom.config import SignalConfig, default_config, provider_queries
 from newsloom.operators import legacy, metrics
 from newsloom.plans import pipeline
@@ -76,8 +77,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         parsed = payloads.parsed(rows)
         payloads.diagnostics(parsed, payloads.articles(parsed, config)).show(100, False)
     elif args.command == "legacy":
-        rows = legacy.relevant(legacy.heuristic(spark.read.option("multiLine", True).json(args.articles), tuple(args.company or ("company",))), 4)
-        write_json(rows, f"{args.out}/mentions.json")
+        found = legacy.heuristic(spark.read.option("multiLine", True).json(args.articles), tuple(args.company or ("company",)))
+        reports.export(legacy.relevant(found, 4), args.out, args.as_of, 4, audit=found)
     else:
         channel, destination = "daily_digest", args.outbox or "local"
         alerts, events = stored_state(store)

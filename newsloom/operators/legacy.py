@@ -91,10 +91,8 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("relevance_score").desc(), F.col("published_at").desc_nulls_last(), "seq")
 
 
-def renumbered(rows: DataFrame, descending: bool = False) -> DataFrame:
-    """Numbers 1 to n by date and title (W8): rows are dealt by ranges of the order and numbered within them, after all rows of the ranges before."""
-    keys = [F.coalesce("published_at", F.lit("")), F.lower("title"), F.col("seq")]
-    order = [k.desc() if descending else k.asc() for k in keys]
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds number, 1 to n in an order: rows are dealt by ranges of the order and numbered within them, after all rows of the ranges before."""
     ranged = checkpointed(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
@@ -102,6 +100,12 @@ def renumbered(rows: DataFrame, descending: bool = False) -> DataFrame:
     return ranged.withColumn("_place", place).join(before, "_range").withColumn("number", F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
 
 
+def renumbered(rows: DataFrame, descending: bool = False) -> DataFrame:
+    """Numbers by date and title."""
+    keys = [F.coalesce("published_at", F.lit("")), F.lower("title"), F.col("seq")]
+    return numbered(rows, [k.desc() if descending else k.asc() for k in keys])
+
+
 def domain(url) -> Column:
     """Authority as written, without ``www.``."""
     return F.replace(F.regexp_extract(X.text(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit("www."), F.lit(""))

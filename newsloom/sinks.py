@@ -89,10 +89,3 @@ def mirror_actions(alerts: DataFrame, pages: DataFrame, dry_run: bool = False) -
 
 def missing_columns(df: DataFrame, required: dict[str, str]) -> dict[str, str]:
     return {k: v for k, v in required.items() if k not in df.columns}
-
-
-def legacy_report(mentions: DataFrame) -> DataFrame:
-    """Markdown report of mentions (K16); mentions were filtered before."""
-    entry = F.concat(F.lit("## "), F.coalesce("title", F.lit("")), F.lit("\n- "), F.coalesce("url", F.lit("")), F.lit("\n- score: "), F.col("relevance_score").cast("string"), F.lit("\n"))
-    l = F.array_sort(F.collect_list(F.struct((-F.col("relevance_score")).alias("o"), "seq", entry.alias("e"))))
-    return mentions.groupBy().agg(F.array_join(F.transform(l, lambda x: x.e), "\n").alias("document"))
