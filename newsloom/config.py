@@ -193,7 +193,7 @@ class SignalConfig:
         region = dims["region"].alias("r").join(dims["region_term"].where("kind = 'geo'").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("terms")), "region")
         topic = dims["topic_keyword"].where(F.col("topic").isin(*order)).groupBy("topic", "priority_ord").agg(F.array_sort(F.collect_list(F.struct("ord", "keyword"))).alias("words"))
         template = spark.createDataFrame([(n, t) for n, t in enumerate(self.templates)], "template_ord int, template string")
-        rows = brand.join(F.broadcast(region.select("region", "label", "language_hints", "terms")), "region").crossJoin(topic).crossJoin(template)
+        rows = brand.join(region.select("region", "label", "language_hints", "terms"), "region").crossJoin(topic).crossJoin(template)
         def joined(c, f):
             return F.array_join(F.transform(c, lambda x: x[f]), " OR ")
         query = F.col("template")

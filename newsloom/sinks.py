@@ -59,13 +59,19 @@ class TableStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/{name}")
-
     def put(self, name: str, rows: DataFrame, run: str) -> None:
         """Writes a run's rows in the run's own place: a second time replaces the first. Tables written so have a column ``run``."""
         rows.drop("run").write.mode("overwrite").parquet(f"{self.root}/{name}/run={run}")
 
+    def prune(self, name: str, before: str) -> None:
+        """Deletes the rows of runs whose names sort before ``before``: for tables whose runs are named by time."""
+        at, conf = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path, self.spark.sparkContext._jsc.hadoopConfiguration()
+        if self.exists(name):
+            fs = at(f"{self.root}/{name}").getFileSystem(conf)
+            for s in fs.listStatus(at(f"{self.root}/{name}")):
+                if "run=" <= s.getPath().getName() < f"run={before}":
+                    fs.delete(s.getPath(), True)
+
     def insert_new(self, name: str, rows: DataFrame, run: str, *keys: str, order: str = "seq") -> None:
         """Stores rows whose key no other run has; the first writer wins."""
         rows = rows.drop("run")

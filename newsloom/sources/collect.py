@@ -21,12 +21,18 @@ from newsloom.sources import fetch, payloads
 #: Requests of a day, queries of a run, seconds a payload lives and a slowed provider rests.
 DAILY = {"newsapi": 90, "guardian": 450}
 PER_RUN = {"gdelt": 10, "newsapi": 25, "guardian": 40}
-LIFETIME, REST = 900, {"gdelt": 60, "newsapi": 900, "guardian": 900}
+LIFETIME, LIVES = {"newsapi": 600}, 900
+REST = {"gdelt": 60, "newsapi": 900, "guardian": 900}
 KEYED = ("guardian", "newsapi")
 LOG = "provider string, query string, at timestamp, http_status int"
 CACHE = payloads.PAYLOAD + ", expires_at timestamp"
 
 
+def stamp(as_of: str, days: int = 0) -> str:
+    """A time, or one some days before it, as a name that sorts by time."""
+    return (datetime.datetime.fromisoformat(as_of) - datetime.timedelta(days=days)).strftime("%Y-%m-%d-%H-%M-%S")
+
+
 def planned(spark: SparkSession, config: SignalConfig, as_of: str, regions=None, days: int = 7, keys: dict[str, str] | None = None, precision: DataFrame | None = None) -> list[dict]:
     """The requests of a run in order: searches, a provider's most precise queries first (``precision``: query, precision), then by topic
     priority; then feeds. Searches that need a key are left out without one."""
@@ -68,15 +74,23 @@ def collected(spark: SparkSession, config: SignalConfig, store: TableStore, as_o
     at = F.lit(as_of).cast("timestamp")
     precision = metrics.learned_precision(store.read("query_evidence", metrics.EVIDENCE + ", run string"), as_of)
     requests = planned(spark, config, as_of, regions, days, keys, precision)
-    live = store.read("payload_cache", CACHE).where(F.col("expires_at") > at)
+    # tables in places by time: older ones are not read, and those that nothing can ask for any more go
+    run, oldest = stamp(as_of), stamp(as_of, days=1)
+    live = store.read("payload_cache", CACHE + ", run string").where((F.col("run") >= oldest) & (F.col("expires_at") > at)).drop("run")
+    log = store.read("requests", LOG + ", run string").where(F.col("run") >= oldest).drop("run")
+    store.prune("payload_cache", oldest)
+    store.prune("requests", stamp(as_of, days=30))
     place = F.coalesce("feed_url", F.lit(""))
     held = live.select("provider", "query", place.alias("feed_url"), "expires_at", *[c for c in fetch.FIELDS if c not in ("provider", "query", "feed_url", "seq")])
     known = {(r["provider"], r["query"], r["feed_url"]) for r in held.select("provider", "query", "feed_url").distinct().collect()}
     cached = [r for r in requests if (r["provider"], r["query"], r.get("feed_url", "")) in known]
-    send, left = allowed([r for r in requests if (r["provider"], r["query"], r.get("feed_url", "")) not in known], store.read("requests", LOG), as_of)
+    send, left = allowed([r for r in requests if (r["provider"], r["query"], r.get("feed_url", "")) not in known], log, as_of)
     got = checkpointed(fetch.fetch(spark, send, transport))
-    store.append("requests", got.select("provider", "query", at.alias("at"), F.col("http_status").cast("int").alias("http_status")))
-    store.append("payload_cache", got.where("error is null and http_status < 400").withColumn("expires_at", at + F.expr(f"interval {LIFETIME} seconds")))
+    store.put("requests", got.select("provider", "query", at.alias("at"), F.col("http_status").cast("int").alias("http_status")), run)
+    lives = F.lit(LIVES)
+    for p, seconds in LIFETIME.items():
+        lives = F.when(F.col("provider") == p, seconds).otherwise(lives)
+    store.put("payload_cache", got.where("error is null and http_status < 400").withColumn("expires_at", at + F.make_dt_interval(secs=lives)), run)
     if cached:
         turn = spark.createDataFrame([(r["provider"], r["query"], r.get("feed_url", ""), r["seq"]) for r in cached], "provider string, query string, feed_url string, seq long")
         newest = held.groupBy("provider", "query", "feed_url").agg(F.max("expires_at").alias("expires_at"))

@@ -42,3 +42,13 @@ def test_collected_keeps_log_and_cache(spark, tmp_path):
     counts = {(r.provider, r.status, r.exception): r["count"] for r in told}
     assert again >= n and ("gdelt", "skipped", "cooldown") in counts
     assert store.read("requests", collect.LOG).where("provider = 'regional_rss'").count() == by["regional_rss"] and store.read("requests", collect.LOG).count() > before
+
+
+def test_old_payloads_go(spark, tmp_path):
+    store = TableStore(spark, f"{tmp_path}/state")
+    rows = spark.range(3)
+    for as_of in ("2026-05-18 10:00:00", "2026-05-19 09:00:00", "2026-05-20 08:00:00"):
+        store.put("payload_cache", rows, collect.stamp(as_of))
+    store.prune("payload_cache", collect.stamp("2026-05-20 08:30:00", days=1))
+    assert {r.run for r in store.read("payload_cache", "id long, run string").collect()} == {"2026-05-19-09-00-00", "2026-05-20-08-00-00"}
+    store.prune("nothing", "x")
