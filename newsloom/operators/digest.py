@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,11 +125,15 @@ def highlights(rows: DataFrame, n: int = 5) -> DataFrame:
     return rows.where(F.col("rank") <= n).groupBy("region").agg(F.transform(listed, lambda x: x.headline).alias("highlights"))
 
 
-def build(candidates: DataFrame, config: SignalConfig, regions, history: DataFrame | None = None, sent: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """The regional digests: filter, promote, rank, suppress, limit - in this order (suppression before the limit)."""
+def build(candidates: DataFrame, config: SignalConfig, regions, history: DataFrame | None = None, sent: DataFrame | None = None, limit: int | None = None,
+          ranking: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The regional digests: filter, promote, rank, suppress, limit - in this order (suppression before the limit).
+
+    ``ranking`` may set anew what the ranks are made of: priority, confidence, score, resolved_date (D4)."""
     chosen = config.selected(regions)
     rows = gate.marketing(candidates, config, tuple(chosen), own_region=True)
-    rows = ranked(resolved(alerts(rows)) if "resolved_date" not in rows.columns else alerts(rows), "rank_in")
+    rows = resolved(alerts(rows)) if "resolved_date" not in rows.columns else alerts(rows)
+    rows = ranked(ranking(rows) if ranking else rows, "rank_in")
     if sent is not None:
         rows = rows.join(sent.select("digest_key").distinct(), "digest_key", "left_anti")
     if history is not None:

@@ -149,27 +149,62 @@ def strategist(alerts: DataFrame, company: str = "the company") -> DataFrame:
     return alerts.withColumns({**out, "product_strategist_invoked": invoked, "product_strategist_trigger": F.when(invoked, topic)})
 
 
-def model_texts(alerts: DataFrame, client: Callable[[], Callable[[dict], str]]) -> DataFrame:
-    """Texts by a model for rows with use_llm and a body (D3, D5). ``client()`` runs once per partition and returns a function from
-    a row to a JSON object with the text fields; anything else leaves the rule-based texts, with llm_error set."""
+ANSWERS = "content string, answer string, error string"
+
+
+def content(alerts: DataFrame) -> Column:
+    """What a model is asked about, as a hash: the story, not the run."""
+    body = F.col("article_body") if "article_body" in alerts.columns else F.col("snippet")
+    parts = [X.text(c) for c in ("title", "competitor", "topic_group", "url")] + [X.text(body)]
+    return F.sha2(F.concat_ws("\0", *parts).cast("binary"), 256)
+
+
+def answers(alerts: DataFrame, client: Callable[[], Callable[[dict], str]], known: DataFrame | None = None, workers: int = 8) -> DataFrame:
+    """(content, answer, error) for the contents of rows with use_llm that ``known`` (content, answer) lacks.
+
+    ``client()`` runs once per partition and returns a function from a row to a JSON object with the text fields. Up to ``workers`` calls
+    of a batch run at a time. A call that fails, or answers no JSON object, is a row with an error.
+    """
+    asked = alerts.where(F.coalesce("use_llm", F.lit(False))).withColumn("content", content(alerts))
+    if known is not None:
+        asked = asked.join(known.where("answer is not null").select("content"), "content", "left_anti")
+    asked = asked.select("content", F.to_json(F.struct(*[F.col(f"`{c}`") for c in alerts.columns])).alias("row")).dropDuplicates(["content"])
+
     def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
         ask = client()
-        for pdf in batches:
-            errors = []
-            for n, row in enumerate(pdf.to_dict("records")):
-                error = None
-                if row.get("use_llm") and row.get("article_body"):
-                    try:
-                        said = json.loads(ask(row))
-                        for c in TEXTS:
-                            if isinstance(said.get(c), str) and said[c].strip():
-                                pdf.iat[n, pdf.columns.get_loc(c)] = " ".join(said[c].split())
-                    except Exception as e:  # a model's failure must not fail the job
-                        error = f"{type(e).__name__}: {e}"
-                errors.append(error)
-            yield pdf.assign(llm_error=pd.Series(errors, index=pdf.index, dtype=object))
-
-    return alerts.mapInPandas(run, T.StructType([*alerts.schema.fields, T.StructField("llm_error", T.StringType())]))
+
+        def one(row):
+            try:
+                said = ask(json.loads(row))
+                return (said, None) if isinstance(json.loads(said), dict) else (None, "no JSON object")
+            except Exception as e:  # a model's failure must not fail the job
+                return None, f"{type(e).__name__}: {e}"
+
+        with ThreadPoolExecutor(workers) as pool:
+            for pdf in batches:
+                found = list(pool.map(one, pdf["row"]))
+                yield pd.DataFrame({"content": pdf["content"], "answer": [a for a, _ in found], "error": [e for _, e in found]}, dtype=object)
+
+    return asked.mapInPandas(run, ANSWERS)
+
+
+def with_answers(alerts: DataFrame, said: DataFrame) -> DataFrame:
+    """Alerts with the texts of their answers; what an answer lacks keeps its rule-based text. Adds llm_error and is_editorial_fallback."""
+    one = said.groupBy("content").agg(F.max("answer").alias("_answer"), F.max("error").alias("_error"))
+    rows = alerts.withColumn("content", content(alerts)).join(one, "content", "left")
+    fields = F.from_json("_answer", ", ".join(f"{c} string" for c in TEXTS))
+    texts = {c: F.coalesce(F.nullif(X.clean(fields[c]), F.lit("")), F.col(c)) for c in TEXTS if c in alerts.columns}
+    wanted = F.coalesce("use_llm", F.lit(False))
+    return X.pinned(rows, {
+        **texts, "llm_error": F.when(F.col("_answer").isNull(), F.col("_error")).cast("string"), "is_editorial_fallback": wanted & F.col("_answer").isNull(),
+    }).drop("content", "_answer", "_error")
+
+
+def model_texts(alerts: DataFrame, client: Callable[[], Callable[[dict], str]]) -> DataFrame:
+    """Texts by a model for rows with use_llm, asked anew; see ``answers`` and ``with_answers``."""
+    return with_answers(alerts, answers(alerts, client))
 
 
 def deliverable(alerts: DataFrame) -> DataFrame:

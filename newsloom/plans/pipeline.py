@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,13 @@ from newsloom.operators import classify, digest, enrich, gate, metrics, normaliz
 
 
 def run(raw: DataFrame, config: SignalConfig, as_of: str, regions=None, min_score: int = 4, alerts: DataFrame | None = None, events: DataFrame | None = None,
-        channel: str = "daily_digest", destination: str = "local", pages: DataFrame | None = None, limit: int | None = None, queries: int = 0, dedup: bool = True) -> dict[str, DataFrame]:
+        channel: str = "daily_digest", destination: str = "local", pages: DataFrame | None = None, limit: int | None = None, queries: int = 0, dedup: bool = True,
+        ranking: Callable[[DataFrame], DataFrame] | None = None, client: Callable | None = None, known: DataFrame | None = None, ask: int = 15) -> dict[str, DataFrame]:
     """All results of a run as named DataFrames. ``alerts`` and ``events`` are the stored state; nothing is written here.
 
+    ``ranking`` may set anew what ranks are made of (D4). With ``client`` a model is asked for the texts of the first ``ask`` alerts of each region,
+    but for those that ``known`` (content, answer) has answers to; the result "answers" is what it said (D11, D13).
+
     Order: normalise, dedup, classify, gate, assign regions, merge deferred, rank, suppress, limit, freshness, texts.
     """
     regions = config.selected(regions)
@@ -37,12 +43,20 @@ def run(raw: DataFrame, config: SignalConfig, as_of: str, regions=None, min_scor
 
         pool = with_context(pool, pages, digest.needs_context(as_of))
     pool = digest.resolved(pool, html="page_date" if pages is not None else None)
-    top = digest.build(pool, config, regions, history, sent, limit)
-    flagged = enrich.strategist(enrich.fallback(digest.freshness(top, as_of)))
+    top = digest.build(pool, config, regions, history, sent, limit, ranking)
+    texts, said = enrich.fallback(digest.freshness(top, as_of)), None
+    if client is not None:
+        texts = similar.checkpointed(digest.enrichment_slice(texts, ask))
+        said = similar.checkpointed(enrich.answers(texts.where("not is_expired"), client, known))  # asked once, whatever reads it
+        every = said if known is None else said.unionByName(known.select("content", "answer", F.lit(None).cast("string").alias("error")))
+        texts = enrich.with_answers(texts, every)
+    flagged = enrich.strategist(texts)
     fresh = flagged.where("not is_expired")
     drops = dropped.unionByName(refused).unionByName(lost)
     out = {
         "articles": articles, "candidates": accepted, "dropped": drops, "digest": fresh, "expired": flagged.where("is_expired"), "highlights": digest.highlights(top),
         "summary": metrics.run_summary(articles, accepted, drops, fresh, queries),
     }
+    if said is not None:
+        out["answers"] = said
     return out | ({"wins": similar.win_metrics(wins)} if wins is not None else {})

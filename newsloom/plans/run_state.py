@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import delivery
-from newsloom.operators import metrics, state
+from newsloom.operators import enrich, metrics, state
 from newsloom.sinks import TableStore
 
 EVENTS = "alert_key string, channel string, destination string, status string, seq long, external_id string, error_message string, event_ts timestamp"
@@ -34,6 +34,11 @@ def stored_state(store: TableStore, but: str | None = None) -> tuple[DataFrame |
     return (None, None) if but is not None and alerts.isEmpty() else (alerts, events)
 
 
+def known_answers(store: TableStore) -> DataFrame:
+    """What a model said in earlier runs, by content."""
+    return store.read("model_answers", enrich.ANSWERS + ", run string").where("answer is not null").select("content", "answer").dropDuplicates(["content"])
+
+
 def remember(store: TableStore, out: dict[str, DataFrame], sender: str | None, channel: str, destination: str, as_of: str, run: str | None = None, wait: float = delivery.FIRST_WAIT) -> None:
     """Stores a run: its counts, new candidates and alerts, and the events of its deliveries.
 
@@ -52,6 +57,8 @@ def remember(store: TableStore, out: dict[str, DataFrame], sender: str | None, c
         store.insert_new("candidates", out["candidates"], run, "url", "competitor", "topic_group")
         store.insert_new("alerts", digest.withColumn("created_at", at), run, "digest_key")
         learn(store, out, at, run)
+        if "answers" in out:
+            store.put("model_answers", out["answers"], run)
         if sender is not None:
             sent = delivery.deliver(digest, f"{store.root}/delivery", run, sender, destination, channel, as_of, wait=wait).persist()
             late = state.deferrals(digest, sent.where("status = 'delivered'"), channel, destination, as_of).withColumn("seq", F.lit(1 << 40).cast("long"))
