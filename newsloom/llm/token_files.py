@@ -81,16 +81,27 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIR
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, levels: np.ndarray, base: int) -> np.ndarray:
-    seq = symbols
-    for low, top in reversed(list(zip(np.r_[0, levels[:-1]].tolist(), levels.tolist()))) if len(levels) else ():
-        pair = (seq >= base + low) & (seq < base + top)
-        where = np.arange(len(seq)) + np.cumsum(pair) - pair
-        out = np.empty(len(seq) + int(pair.sum()), np.uint32)
-        out[where[~pair]] = seq[~pair]
-        both = rules[seq[pair] - base]
-        out[where[pair]], out[where[pair] + 1] = both[:, 0], both[:, 1]
-        seq = out
-    return seq
+    """The ids of a sequence of symbols: each rule is expanded once, by those of earlier rounds, and then gathered."""
+    sizes, starts, flat = np.zeros(len(rules), np.int64), np.zeros(len(rules), np.int64), np.empty(0, np.uint32)
+
+    def gathered(seq: np.ndarray) -> np.ndarray:
+        which = np.flatnonzero(seq >= base)
+        rule = seq[which].astype(np.int64) - base
+        size, start = np.ones(len(seq), np.int64), np.arange(len(flat), len(flat) + len(seq))
+        size[which], start[which] = sizes[rule], starts[rule]
+        end = np.cumsum(size)
+        at = np.repeat(start - end + size, size)
+        at += np.arange(len(at))
+        return np.concatenate([flat, seq])[at]
+
+    low = 0
+    for top in levels.tolist():
+        pairs = rules[low:top].ravel()
+        sizes[low:top] = np.where(pairs >= base, sizes[np.maximum(pairs.astype(np.int64) - base, 0)], 1).reshape(-1, 2).sum(1)
+        starts[low:top] = len(flat) + np.cumsum(sizes[low:top]) - sizes[low:top]
+        flat = np.concatenate([flat, gathered(pairs)])
+        low = top
+    return gathered(symbols)
 
 
 def decode_range(symbols, rules, spans, levels, base: int, lo: int, hi: int) -> np.ndarray:
