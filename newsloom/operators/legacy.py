@@ -109,3 +109,11 @@ def renumbered(rows: DataFrame, descending: bool = False) -> DataFrame:
 def domain(url) -> Column:
     """Authority as written, without ``www.``."""
     return F.replace(F.regexp_extract(X.text(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit("www."), F.lit(""))
+
+
+def company_context(spark, path: str, default: str = "A company that offers rides and deliveries.") -> str:
+    """What a context file says about the company, else a sentence that stands for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return default
+    return (spark.read.text(path, wholetext=True).head()[0] or "").strip() or default

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -10,7 +10,16 @@ from newsloom.config import REGION_LABELS
 from newsloom.functions import render
 from newsloom.operators import state
 
-REVIEW = ("digest_key", "competitor", "topic_group", "region", "country_hint", "language_hint", "score", "priority", "title", "url", "provider", "source", "published_at", "snippet", "query", "summary", "matched_keywords", "reasons")
+# Columns of the review, each with the column of the candidate, or of its alert, that fills it.
+REVIEW = {c: c for c in ("competitor", "topic_group", "score")} | {"is_expired": "alert.is_expired"} | {c: c for c in ("region", "country_hint", "language_hint")} | {
+    "final_competitor": "alert.competitor", "final_region": "alert.region", "final_country": "alert.country", "published_date": "alert.resolved_date", "published_date_source": "alert.resolved_date_source",
+    "resolved_publication_date": "alert.resolved_date", "resolved_publication_date_source": "alert.resolved_date_source",
+    "competitor_source": "alert.competitor_source", "region_source": "alert.region_source", "country_source": "alert.country_source", "geo_validation_fallback": "alert.geo_validation_fallback",
+    "news_gatekeeper_accept": "alert.gate_accepted", "news_gatekeeper_canonical_topic": "alert.canonical_topic", "news_gatekeeper_relevance_reason": "alert.relevance_reason",
+    "news_gatekeeper_priority_hint": "alert.priority_hint", "news_gatekeeper_rejection_reason": "alert.rejection_reason",
+    "product_take": "alert.product_take", "product_risk": "alert.product_risk", "product_follow_up": "alert.product_follow_up",
+    "product_strategist_invoked": "alert.product_strategist_invoked", "product_strategist_trigger": "alert.product_strategist_trigger",
+} | {c: c for c in ("title", "source", "published_at", "url", "matched_keywords", "reasons", "summary")}
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -29,14 +38,25 @@ def digest_json(alerts: DataFrame, path: str) -> None:
     write_json(alerts.withColumn("region_label", label), path)
 
 
+def review(candidates: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Candidates with what became of them as alerts, as text, joined by story key - never by position (K6); lists as ``a | b``, nulls empty."""
+    keyed = candidates if "digest_key" in candidates.columns else candidates.withColumn("digest_key", F.concat_ws("::", F.lower("competitor"), "topic_group", "url"))
+    one = alerts.groupBy("digest_key").agg(F.min_by(F.struct("*"), F.struct("region", "rank")).alias("alert"))
+    rows = keyed.select("digest_key", F.struct(*[F.col(f"`{c}`") for c in candidates.columns]).alias("candidate")).join(one, "digest_key", "left")
+    kinds = {f"alert.{c}": t for c, t in alerts.dtypes} | dict(candidates.dtypes)
+
+    def told(c: str) -> Column:
+        if c not in kinds:
+            return F.lit("")
+        value = F.col(c if "." in c else f"candidate.{c}")
+        flat = F.concat_ws(" | ", value) if kinds[c].startswith("array") else value.cast("string")
+        return F.coalesce(flat, F.lit("false" if c == "alert.is_expired" else ""))
+
+    return rows.select(*[told(c).alias(name) for name, c in REVIEW.items()])
+
+
 def review_csv(candidates: DataFrame, alerts: DataFrame, path: str) -> None:
-    """Candidates with their alerts' texts, joined by story key - never by position (K6); lists as ``a | b``."""
-    keyed = candidates.withColumn("digest_key", F.concat_ws("::", F.lower("competitor"), "topic_group", "url")) if "digest_key" not in candidates.columns else candidates
-    texts = [c for c in ("event", "what_happened", "why_it_matters", "potential_impact", "resolved_date", "confidence") if c in alerts.columns]
-    out = keyed.join(alerts.select("digest_key", *texts), "digest_key", "left")
-    columns = [c for c in (*REVIEW, *texts) if c in out.columns]
-    flat = [F.concat_ws(" | ", c).alias(c) if t.startswith("array") else F.col(c) for c, t in out.select(*columns).dtypes]
-    out.select(*flat).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    review(candidates, alerts).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def write_markdown(alerts: DataFrame, path: str, generated_at: str) -> None:

@@ -4,7 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from newsloom import reports
+from newsloom import reports, sinks
+from newsloom.operators import legacy
+from newsloom.plans import pipeline, surrogate
 
 
 def test_report_of_many_mentions(spark, tmp_path):
@@ -32,3 +34,22 @@ def test_empty_export(spark, tmp_path):
     got = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/mentions.csv").collect()
     assert [(r.number, r.title) for r in got] == [("1", "b"), ("2", 'a "quoted" title')] and got[0].asDict().keys() == set(reports.COLUMNS)
     assert spark.read.json(f"{tmp_path}/run_summary.json").head().relevant_mentions == 2
+
+
+def test_review_has_all_columns(spark, tmp_path):
+    out = pipeline.run(surrogate.articles(spark, "/root/testdata/sf0.001"), surrogate.CONFIG, surrogate.AS_OF)
+    sinks.review_csv(out["candidates"], out["digest"], f"{tmp_path}/review")
+    got = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{tmp_path}/review")
+    assert got.columns == list(sinks.REVIEW) and len(got.columns) == 35
+    rows, digest = {r.url: r for r in got.collect()}, {r.url: r for r in out["digest"].collect()}
+    assert len(rows) == out["candidates"].count() > len(digest) > 0
+    for url, alert in digest.items():
+        r = rows[url]
+        assert r.final_region == alert.region and r.news_gatekeeper_accept == "true" and r.resolved_publication_date == str(alert.resolved_date) and r.matched_keywords == " | ".join(alert.matched_keywords)
+    assert any(r.final_region is None and r.is_expired == "false" for url, r in rows.items() if url not in digest)
+
+
+def test_company_context(spark, tmp_path):
+    assert legacy.company_context(spark, f"{tmp_path}/none.txt", "d") == "d"
+    (tmp_path / "c.txt").write_text("  one\ntwo\n")
+    assert legacy.company_context(spark, f"{tmp_path}/c.txt") == "one\ntwo"
