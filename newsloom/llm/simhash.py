@@ -20,7 +20,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch, components
@@ -28,6 +27,8 @@ from newsloom.llm.common import Scratch, components
 SEED = 42
 BRUTE = 256
 FANOUT = 16
+#: Shingles in a bucket of hashes, of four to eight on average, from which on all of them come last.
+CROWDED = 64
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -205,22 +206,40 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
 def shingle_links(docs: DataFrame, groups: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """All pairs (a, b) of ids in different groups (id, root) whose shingle sets have a Jaccard similarity of at least 0.8.
 
-    Exact: sets of n shingles with that similarity share at least one of their n - ceil(0.8 n) + 1 rarest.
-    Ids are distinct; the members of one group are one row a key.
+    Exact: in any one order of all shingles, sets of n shingles with that similarity share at least one of their first
+    n - ceil(0.8 n) + 1. The order is by hash, and those in crowded buckets of hashes, so all frequent ones, come last.
+    Shingles are shuffled as counts of buckets, and once as what comes first in each set. Ids are distinct; the members of
+    one group are one row a key.
     """
     sets = scratch.cut(shingle_sets(docs, id_col, text_col, shingle).join(groups, "id").withColumn("n", F.size("sh")))
-    each = sets.select("id", "root", "n", F.explode("sh").alias("s"))
-    counted = each.join(each.groupBy("s").count(), "s")
-    rank = F.row_number().over(W.partitionBy("id").orderBy("count", "s"))
-    first = counted.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).where("count > 1")
-    held = scratch.cut(first.groupBy("s", "root").agg(F.collect_list(F.struct("id", "n")).alias("of")))
+    buckets = 1 << max(10, ((sets.agg(F.sum("n")).head()[0] or 0) // 8).bit_length())
+    bucket = F.pmod("s", F.lit(buckets)).cast("int").alias("bucket")
+    each = sets.select("id", F.explode("sh").alias("s"))
+    crowded = scratch.cut(each.groupBy(bucket).count().where(F.col("count") > CROWDED).select("bucket"))
+    scratch.release()
+    late = each.select("id", "s", bucket).join(crowded, "bucket").groupBy("id").agg(F.collect_list("s").alias("late"))
+    late = scratch.cut(late)
+    scratch.release()
+    ordered = F.when(F.col("late").isNull(), F.sort_array("sh")).otherwise(F.concat(F.sort_array(F.array_except("sh", "late")), F.sort_array("late")))
+    first = F.slice(ordered, 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1)
+    held = sets.join(late, "id", "left").select("id", "root", "n", F.explode(first).alias("s"))
+    held = held.groupBy("s", "root").agg(F.collect_list(F.struct("id", "n")).alias("of"))
+    # a shingle that one group has alone links nothing
+    held = held.groupBy("s").agg(F.collect_list(F.struct("root", "of")).alias("by")).where(F.size("by") > 1)
+    held = scratch.cut(held.select("s", F.inline("by")))
     scratch.release()
     other = held.select("s", F.col("root").alias("r2"), F.col("of").alias("of2"))
     pairs = held.join(other, "s").where("root < r2").select(F.explode("of").alias("x"), "of2").select("x", F.explode("of2").alias("y"))
     pairs = pairs.where(F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = scratch.cut(pairs)  # written first: where they are few, no sets are shuffled
+    scratch.release()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return scratch.cut(both.where(shared * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"))
+    found = scratch.cut(both.where(shared * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"))
+    for done in (sets, crowded, late, held, pairs):
+        scratch.drop(done)
+    scratch.release()
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
