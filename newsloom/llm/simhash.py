@@ -186,21 +186,22 @@ def linked(fps: DataFrame, radius: int = 2, heavy: int = 65536) -> DataFrame:
     )
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, sh) with sh the distinct hashes of the text's shingles, as fingerprint() takes them; texts without a word have no row."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, group_col: str) -> DataFrame:
+    """(id, root, sh) with sh the distinct hashes of the text's shingles, as fingerprint() takes them, and root its group; texts without a word have no row."""
     from xxhash import xxh64_intdigest
 
     def run(batches):
         for batch in batches:
-            ids, sets = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, roots, sets = [], [], []
+            for i, r, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
                 if words:
                     found = {xxh64_intdigest(b" ".join(words[k:k + shingle]), SEED) for k in range(max(1, len(words) - shingle + 1))}
-                    ids.append(i), sets.append(np.array(list(found), dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "sh"])
+                    ids.append(i), roots.append(r), sets.append(np.array(list(found), dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "root", "sh"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, sh array<long>")
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(group_col).cast("long").alias("root"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, "id long, root long, sh array<long>")
 
 
 def shingle_links(docs: DataFrame, groups: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -211,7 +212,10 @@ def shingle_links(docs: DataFrame, groups: DataFrame, scratch: Scratch, id_col:
     Shingles are shuffled as counts of buckets, and once as what comes first in each set. Ids are distinct; the members of
     one group are one row a key.
     """
-    sets = scratch.cut(shingle_sets(docs, id_col, text_col, shingle).join(groups, "id").withColumn("n", F.size("sh")))
+    # texts are shuffled to their groups, being smaller than their sets
+    sets = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(groups, "id")
+    sets = scratch.cut(shingle_sets(sets, "id", "text", shingle, "root").withColumn("n", F.size("sh")))
+    scratch.release()
     buckets = 1 << max(10, ((sets.agg(F.sum("n")).head()[0] or 0) // 8).bit_length())
     bucket = F.pmod("s", F.lit(buckets)).cast("int").alias("bucket")
     each = sets.select("id", F.explode("sh").alias("s"))
@@ -223,10 +227,9 @@ def shingle_links(docs: DataFrame, groups: DataFrame, scratch: Scratch, id_col:
     ordered = F.when(F.col("late").isNull(), F.sort_array("sh")).otherwise(F.concat(F.sort_array(F.array_except("sh", "late")), F.sort_array("late")))
     first = F.slice(ordered, 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1)
     held = sets.join(late, "id", "left").select("id", "root", "n", F.explode(first).alias("s"))
-    held = held.groupBy("s", "root").agg(F.collect_list(F.struct("id", "n")).alias("of"))
     # a shingle that one group has alone links nothing
-    held = held.groupBy("s").agg(F.collect_list(F.struct("root", "of")).alias("by")).where(F.size("by") > 1)
-    held = scratch.cut(held.select("s", F.inline("by")))
+    held = held.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("root", "id", "n")).alias("by")).where("lo <> hi")
+    held = scratch.cut(held.select("s", F.inline("by")).groupBy("s", "root").agg(F.collect_list(F.struct("id", "n")).alias("of")))
     scratch.release()
     other = held.select("s", F.col("root").alias("r2"), F.col("of").alias("of2"))
     pairs = held.join(other, "s").where("root < r2").select(F.explode("of").alias("x"), "of2").select("x", F.explode("of2").alias("y"))
