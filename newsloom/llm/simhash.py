@@ -234,15 +234,28 @@ def shingle_links(docs: DataFrame, groups: DataFrame, scratch: Scratch, id_col:
     other = held.select("s", F.col("root").alias("r2"), F.col("of").alias("of2"))
     pairs = held.join(other, "s").where("root < r2").select(F.explode("of").alias("x"), "of2").select("x", F.explode("of2").alias("y"))
     pairs = pairs.where(F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = scratch.cut(pairs)  # written first: where they are few, no sets are shuffled
+    pairs = scratch.cut(pairs)
     scratch.release()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    found = scratch.cut(both.where(shared * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"))
-    for done in (sets, crowded, late, held, pairs):
+    few = scratch.cut(sets.select("id", "sh").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
+    for done in (sets, crowded, late, held):
         scratch.drop(done)
     scratch.release()
-    return found
+    # pairs carry a set each: about as many at once as there are sets
+    passes = max(1, -(-pairs.count() // max(1, few.count())))
+    shared = F.size(F.array_intersect("x", "y"))
+    found = []
+    for k in range(passes):
+        turn = [rows.where(F.pmod(F.xxhash64(F.lit(9), "a"), F.lit(passes)) == k) for rows in (pairs, few.select(F.col("id").alias("a"), F.col("sh").alias("x")))]
+        both = turn[0].join(turn[1], "a").join(few.select(F.col("id").alias("b"), F.col("sh").alias("y")), "b")
+        found.append(scratch.cut(both.where(shared * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")))
+        del turn, both
+        scratch.release()
+    scratch.drop(few)
+    scratch.drop(pairs)
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return every
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
