@@ -186,22 +186,29 @@ def linked(fps: DataFrame, radius: int = 2, heavy: int = 65536) -> DataFrame:
     )
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, group_col: str) -> DataFrame:
-    """(id, root, sh) with sh the distinct hashes of the text's shingles, as fingerprint() takes them, and root its group; texts without a word have no row."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, sh) and the kept columns: the fingerprint and the distinct hashes of the text's shingles, hashed once for both; sh is null without a word."""
     from xxhash import xxh64_intdigest
 
     def run(batches):
         for batch in batches:
-            ids, roots, sets = [], [], []
-            for i, r, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            fps, sets = [], []
+            for t in batch.column(1).to_pylist():
                 words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
-                if words:
-                    found = {xxh64_intdigest(b" ".join(words[k:k + shingle]), SEED) for k in range(max(1, len(words) - shingle + 1))}
-                    ids.append(i), roots.append(r), sets.append(np.array(list(found), dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "root", "sh"])
-
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(group_col).cast("long").alias("root"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, root long, sh array<long>")
+                if not words:
+                    fps.append(0), sets.append(None)
+                    continue
+                h = np.array([xxh64_intdigest(b" ".join(words[k:k + shingle]), SEED) for k in range(max(1, len(words) - shingle + 1))], dtype="<u8")
+                counts = np.zeros(64, dtype=np.int64)
+                for at in range(0, len(h), 65536):
+                    counts += np.unpackbits(h[at:at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                fps.append(int(np.packbits((2 * counts > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0]))
+                sets.append(np.unique(h.view(np.int64)))
+            fps = np.array(fps, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(sets, pa.list_(pa.int64())), *batch.columns[2:]], names=["id", "fp", "sh", *kept])
+
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *kept)
+    return picked.mapInArrow(run, ", ".join(["id long, fp long, sh array<long>", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)]))
 
 
 def shingle_links(docs: DataFrame, groups: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -212,10 +219,13 @@ def shingle_links(docs: DataFrame, groups: DataFrame, scratch: Scratch, id_col:
     Shingles are shuffled as counts of buckets, and once as what comes first in each set. Ids are distinct; the members of
     one group are one row a key.
     """
-    # texts are shuffled to their groups, being smaller than their sets
-    sets = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(groups, "id")
-    sets = scratch.cut(shingle_sets(sets, "id", "text", shingle, "root").withColumn("n", F.size("sh")))
-    scratch.release()
+    sets = scratch.cut(signatures(docs, id_col, text_col, shingle).select("id", "sh"))
+    return shingle_set_links(sets, groups, scratch, sets)
+
+
+def shingle_set_links(sets: DataFrame, groups: DataFrame, scratch: Scratch, spent: DataFrame) -> DataFrame:
+    """``shingle_links`` of sets (id, sh) that are known; without a shingle, sh is null. ``spent``, the scratch table that has them, is dropped."""
+    sets = sets.where("sh is not null").select("id", "sh", F.size("sh").alias("n"))
     buckets = 1 << max(10, ((sets.agg(F.sum("n")).head()[0] or 0) // 8).bit_length())
     bucket = F.pmod("s", F.lit(buckets)).cast("int").alias("bucket")
     each = sets.select("id", F.explode("sh").alias("s"))
@@ -226,10 +236,14 @@ def shingle_links(docs: DataFrame, groups: DataFrame, scratch: Scratch, id_col:
     scratch.release()
     ordered = F.when(F.col("late").isNull(), F.sort_array("sh")).otherwise(F.concat(F.sort_array(F.array_except("sh", "late")), F.sort_array("late")))
     first = F.slice(ordered, 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1)
-    held = sets.join(late, "id", "left").select("id", "root", "n", F.explode(first).alias("s"))
-    # a shingle that one group has alone links nothing
-    held = held.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("root", "id", "n")).alias("by")).where("lo <> hi")
-    held = scratch.cut(held.select("s", F.inline("by")).groupBy("s", "root").agg(F.collect_list(F.struct("id", "n")).alias("of")))
+    held = sets.join(late, "id", "left").select("id", "n", F.explode(first).alias("s"))
+    # a shingle that one text, or one group, has alone links nothing; only of the others the groups are asked
+    held = held.groupBy("s").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.collect_list(F.struct("id", "n")).alias("by")).where("lo <> hi")
+    shared = scratch.cut(held.select("s", F.inline("by")))
+    scratch.release()
+    held = shared.join(groups, "id").groupBy("s", "root").agg(F.collect_list(F.struct("id", "n")).alias("of"))
+    several = held.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
+    held = scratch.cut(held.join(several, "s", "left_semi"))
     scratch.release()
     other = held.select("s", F.col("root").alias("r2"), F.col("of").alias("of2"))
     pairs = held.join(other, "s").where("root < r2").select(F.explode("of").alias("x"), "of2").select("x", F.explode("of2").alias("y"))
@@ -237,17 +251,17 @@ def shingle_links(docs: DataFrame, groups: DataFrame, scratch: Scratch, id_col:
     pairs = scratch.cut(pairs)
     scratch.release()
     few = scratch.cut(sets.select("id", "sh").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
-    for done in (sets, crowded, late, held):
+    for done in (spent, crowded, late, shared, held):
         scratch.drop(done)
     scratch.release()
     # pairs carry a set each: about as many at once as there are sets
     passes = max(1, -(-pairs.count() // max(1, few.count())))
-    shared = F.size(F.array_intersect("x", "y"))
+    common = F.size(F.array_intersect("x", "y"))
     found = []
     for k in range(passes):
         turn = [rows.where(F.pmod(F.xxhash64(F.lit(9), "a"), F.lit(passes)) == k) for rows in (pairs, few.select(F.col("id").alias("a"), F.col("sh").alias("x")))]
         both = turn[0].join(turn[1], "a").join(few.select(F.col("id").alias("b"), F.col("sh").alias("y")), "b")
-        found.append(scratch.cut(both.where(shared * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")))
+        found.append(scratch.cut(both.where(common * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")))
         del turn, both
         scratch.release()
     scratch.drop(few)
@@ -266,7 +280,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     neither read nor returned.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.cut(fingerprints(docs, id_col, text_col, shingle))
+    return grouped(scratch.cut(fingerprints(docs, id_col, text_col, shingle)), scratch, radius)
+
+
+def grouped(rows: DataFrame, scratch: Scratch, radius: int = 2) -> DataFrame:
+    """``near_duplicates`` of rows (id, fp) whose fingerprints are known."""
     classes = scratch.cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     scratch.release()
     edges = linked(classes.select("fp"), radius)
